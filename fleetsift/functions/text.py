@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def holds(value: Column, test: Callable[[Column], Column]) -> Column:
+    """`test(value)` with `value` computed once, however often the test names it."""
+    return F.exists(F.array(value), test)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 from fleetsift import fixed_values as V
 from fleetsift.functions import text
 from fleetsift.operators import workflows
-from fleetsift.schemas import FINDINGS, RULE_HIT, conform, parse
+from fleetsift.schemas import FINDINGS, RULE_HIT, conform
 
 Rule = Callable[[], Column]
 
-_HIT = parse(RULE_HIT)
-_HITS = f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in _HIT.fields)}>>"
+_HITS = f"array<struct<{RULE_HIT}>>"
 
 
 def _content() -> Column:
@@ -249,8 +248,8 @@ def may_be_flagged(content: Column) -> Column:
     Keys and values stand in the text as they are unless escaped, so a file
     without any of these words and without a backslash needs no parsing.
     """
-    return text.any_of([content.contains(w) for w in
-                        ("uses", "permissions", "github.", V.UNSAFE_COMMANDS_SWITCH, "\\")]) | content.rlike(_HARDCODED)
+    words = ("uses", "permissions", "github.", V.UNSAFE_COMMANDS_SWITCH, "\\")
+    return text.holds(content, lambda c: text.any_of([c.contains(w) for w in words]) | c.rlike(_HARDCODED))
 
 
 def misconfig_findings(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -36,8 +36,9 @@ def may_hold_secret(content: Column, rules: Sequence[SecretRule]) -> Column:
     """False only if no rule can match anywhere in the content."""
     if not rules or any(not rule.hints for rule in rules):
         return F.lit(bool(rules))
-    folded = F.lower(F.translate(content, _FOLD_FROM, _FOLD_TO))
-    return text.any_of([folded.contains(hint) for rule in rules for hint in rule.hints])
+    hints = dict.fromkeys(hint for rule in rules for hint in rule.hints)
+    return text.holds(F.lower(F.translate(content, _FOLD_FROM, _FOLD_TO)),
+                      lambda folded: text.any_of([folded.contains(hint) for hint in hints]))
 
 
 def match_secrets(files: DataFrame, rules: Sequence[SecretRule] = BUILT_IN) -> DataFrame:

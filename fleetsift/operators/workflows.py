@@ -77,14 +77,14 @@ def _uses_breaks(uses) -> bool:
 
 
 def _step(index: int, step: dict) -> dict:
-    uses = step.get("uses", "")
-    run = step.get("run", "")
+    uses = step.get("uses")
+    run = step.get("run")
     params = step.get("with") or {}
     is_map = isinstance(params, dict)
     return {
         "step_idx": index,
         "uses": _clean(uses) if isinstance(uses, str) else None,
-        "uses_text": _clean(uses),
+        "uses_text": "" if uses is None else _clean(uses),
         "uses_breaks": _uses_breaks(uses),
         "run": _clean(run) if isinstance(run, str) else None,
         "with_is_map": is_map,

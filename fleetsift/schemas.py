@@ -27,6 +27,10 @@ FINDINGS = (
     "package_name string, installed_version string, fixed_version string, cve_id string, ecosystem string, "
     "attack_vector string, base_score double, `references` array<string>"
 )
+SCORED_FINDINGS = FINDINGS + (
+    ", breakdown struct<exploitability:double,blast_radius:double,trigger_context:double,total:double>, "
+    "risk_score double, severity string"
+)
 FINDING_ORDER = ["scanner_rank", "file_path", "line_number", "rule_id", "item_index"]
 
 SCANS = (
