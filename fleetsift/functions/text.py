@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every line break a text file may hold.
-LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
+# Every line break a text file may hold, besides the newline itself.
+OTHER_LINE_BREAKS = ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 
 def regex(pattern: str) -> str:
@@ -22,10 +22,15 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def holds(value: Column, test: Callable[[Column], Column]) -> Column:
-    """`test(value)` with `value` computed once, however often the test names it."""
+    """Whether `test(value)` is true, with `value` computed once however often the test names it."""
     return F.exists(F.array(value), test)
 
 
+def given(value: Column, result: Callable[[Column], Column]) -> Column:
+    """`result(value)` with `value` computed once however often the result names it."""
+    return F.element_at(F.transform(F.array(value), result), 1)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -39,19 +44,38 @@ def slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
+def newline_breaks(content: Column) -> Column:
+    """The content with every kind of line break as one newline.
+
+    Plain replacements: each returns the text as it is where nothing is to be
+    replaced, which a pattern does not.
+    """
+    for mark in OTHER_LINE_BREAKS:
+        content = F.replace(content, F.lit(mark), F.lit("\n"))
+    return content
+
+
 def lines(content: Column) -> Column:
-    return F.split(content, LINE_BREAK)
+    return F.split(newline_breaks(content), "\n")
 
 
-def line_of(content: Column, needle: Column) -> Column:
-    """Number of the first line that contains `needle`; 1 if none does.
+def line_in(broken: Column, needle: Column) -> Column:
+    """Number of the first line that contains `needle`, 1 if none does; `broken` comes from `newline_breaks`.
 
-    Counts the line breaks before the first occurrence, so no line array is built.
+    Counts the newlines before the first occurrence, so no line array is built.
     A needle that itself spans lines is in no single line, hence 1.
     """
-    at = F.position(needle, content)
-    before = F.regexp_count(F.substring(content, F.lit(1), at - 1), F.lit(LINE_BREAK))
-    return F.when((at > 0) & ~F.regexp_like(needle, F.lit(LINE_BREAK)), before + 1).otherwise(1).cast("bigint")
+    def number(before: Column) -> Column:
+        newlines = F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit("")))
+        found = F.octet_length(before) < F.octet_length(broken)
+        return F.when(found & ~F.contains(needle, F.lit("\n")), newlines + 1).otherwise(1).cast("bigint")
+
+    return given(F.call_function("substring_index", broken, needle, F.lit(1)), number)
+
+
+def line_of(content: Column, needle: Column) -> Column:
+    """As `line_in`, for content as it is."""
+    return line_in(newline_breaks(content), needle)
 
 
 def blank_to_null(value: Column) -> Column:

@@ -6,7 +6,7 @@ one pass over the parsed files, without shuffle, cache or re-parse, and a rule
 that a file's odd types defeat yields an empty array for that file only.
 
 A rule is any function `() -> Column` over the columns of `parse_workflows`
-whose result is an array of `schemas.RULE_HIT`; callers pass their own list.
+(and `line_of`, which looks a text up in the file) whose result is an array of `schemas.RULE_HIT`; callers pass their own list.
 """
 
 from __future__ import annotations
@@ -30,6 +30,11 @@ def _content() -> Column:
     return F.col("content")
 
 
+def line_of(needle: Column) -> Column:
+    """First line of the file that contains the text."""
+    return text.line_in(F.col("broken"), needle)
+
+
 def _triggers() -> Column:
     return F.col("triggers")
 
@@ -93,7 +98,7 @@ def script_injection() -> Column:
         F.filter(contexts, lambda c: F.coalesce(F.contains(s["step"]["run"], c), F.lit(False))),
         lambda c: F.struct(s["job_name"].alias("job"), c.alias("context")))))
     hits = F.transform(pairs, lambda p: hit(
-        "CICD-001", texts["name"], text.line_of(_content(), p["context"]), "CRITICAL",
+        "CICD-001", texts["name"], line_of(p["context"]), "CRITICAL",
         text.fill(texts["description"], context=p["context"], job=p["job"]),
         detail=text.fill(texts["detail"], context=p["context"]),
         reference=texts["reference"],
@@ -112,7 +117,7 @@ def untrusted_checkout() -> Column:
         return is_checkout(s["step"]) & (ref.contains("head") | ref.contains("pull_request"))
 
     hits = F.transform(F.filter(steps_with_job(), reads_head), lambda s: hit(
-        "CICD-002", texts["name"], text.line_of(_content(), F.lit("pull_request_target")), "CRITICAL",
+        "CICD-002", texts["name"], line_of(F.lit("pull_request_target")), "CRITICAL",
         text.fill(texts["description"], ref=_param(s["step"], "ref")),
         reference=texts["reference"], fix=texts["fix"]))
     return hits_if(
@@ -148,10 +153,10 @@ def broad_permissions() -> Column:
 
     def to_hit(p: Column) -> Column:
         return (F.when(is_write_all(p), hit(
-            "CICD-003", write_all["name"], text.line_of(_content(), F.lit("write-all")), "HIGH",
+            "CICD-003", write_all["name"], line_of(F.lit("write-all")), "HIGH",
             text.fill(write_all["description"], level=p["level"]), fix=write_all["fix"]))
             .otherwise(hit(
-                "CICD-003", broad["name"], text.line_of(_content(), F.lit("permissions")), "MEDIUM",
+                "CICD-003", broad["name"], line_of(F.lit("permissions")), "MEDIUM",
                 text.fill(broad["description"], count=F.size(p["scopes"]).cast("string"), level=p["level"],
                           scopes=F.array_join(p["scopes"], ", ")),
                 fix=broad["fix"])))
@@ -173,7 +178,7 @@ def unpinned_actions() -> Column:
     mutable = F.filter(F.transform(with_ref, split_uses),
                        lambda u: ~u["ref"].rlike("(?di)" + V.COMMIT_SHA_PATTERN))
     hits = F.transform(mutable, lambda u: hit(
-        "CICD-004", texts["name"], text.line_of(_content(), u["uses"]),
+        "CICD-004", texts["name"], line_of(u["uses"]),
         F.when(u["ref"].isin(V.MUTABLE_BRANCHES), "HIGH").otherwise("MEDIUM"),
         text.fill(texts["description"], action=u["action"], ref=u["ref"]),
         detail=text.fill(texts["detail"], uses=u["uses"]),
@@ -190,7 +195,7 @@ def unhashed_cache() -> Column:
     found = F.filter(steps_with_job(),
                      lambda s: is_cache(s["step"]) & ~_param(s["step"], "key").contains("hashFiles"))
     hits = F.transform(found, lambda _: hit(
-        "CICD-005", texts["name"], text.line_of(_content(), F.lit("actions/cache")), "HIGH",
+        "CICD-005", texts["name"], line_of(F.lit("actions/cache")), "HIGH",
         F.lit(texts["description"]), fix=texts["fix"]))
     return hits_if(
         _no_job(_UNWALKABLE) & _no_step(lambda step: is_cache(step) & ~step["with_is_map"]), hits)
@@ -200,7 +205,7 @@ def unsafe_commands() -> Column:
     texts = V.WORKFLOW_RULE_TEXTS["CICD-006"]
     return hits_if(
         _content().contains(V.UNSAFE_COMMANDS_SWITCH) & _content().contains("true"),
-        F.array(hit("CICD-006", texts["name"], text.line_of(_content(), F.lit(V.UNSAFE_COMMANDS_SWITCH)), "HIGH",
+        F.array(hit("CICD-006", texts["name"], line_of(F.lit(V.UNSAFE_COMMANDS_SWITCH)), "HIGH",
                     F.lit(texts["description"]), fix=texts["fix"],
                     triggers=F.array().cast("array<string>"))))
 
@@ -219,7 +224,7 @@ def hardcoded_values() -> Column:
     literal = F.filter(matches, lambda m: ~m["value"].contains("${{"))
     return F.transform(literal, lambda m: hit(
         "CICD-007", texts["name"],
-        text.line_of(_content(), F.substring(m["match"], 1, V.HARDCODED_VALUE_PREFIX)), "HIGH",
+        line_of(F.substring(m["match"], 1, V.HARDCODED_VALUE_PREFIX)), "HIGH",
         text.fill(texts["description"], word=m["word"]), fix=texts["fix"]))
 
 
@@ -237,7 +242,8 @@ RULES: list[Rule] = [
 def apply_rules(parsed: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Parsed workflows -> findings of the given rules, in rule order within each file."""
     hits = F.concat(*[rule().cast(_HITS) for rule in rules])
-    found = parsed.select("repo_url", "scan_id", F.col("path").alias("file_path"), F.posexplode(hits).alias("item_index", "hit"))
+    located = parsed.withColumn("broken", text.newline_breaks(_content()))
+    found = located.select("repo_url", "scan_id", F.col("path").alias("file_path"), F.posexplode(hits).alias("item_index", "hit"))
     return conform(found.select("*", "hit.*").withColumns(
         {"scanner_rank": F.lit(1), "finding_type": F.lit("misconfig")}), FINDINGS)
 

@@ -1,9 +1,10 @@
 """Hard-coded secrets: every match of every rule on every line of every scannable file.
 
-No shuffle and no file x rule join.  One pass over the contents: a cheap test
-for literal hints drops most files, a combined pattern drops most lines inside
-the line array, and only the remaining lines are exploded and matched rule by
-rule.  The rule texts are joined last, to findings only.
+No shuffle and no file x rule join.  One pass over the contents: a search for
+literal hints tells which rules can match in a file at all and drops most
+files, the joined pattern of those rules drops most lines inside the line
+array, and only the remaining lines are exploded and matched rule by rule.  The
+rule texts are joined last, to findings only.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from fleetsift.schemas import FINDINGS, conform
 from fleetsift.sources.secret_rules import BUILT_IN, SecretRule
 
 # Letters that fold to an ASCII letter when case is ignored but not by lower().
-_FOLD_FROM, _FOLD_TO = "ſK", "sk"
+_FOLDED_LETTERS = {"\u017f": "s", "\u212a": "k", "\u0131": "i", "\u0130": "i"}
 _LEADING_FLAGS = re.compile(r"^\(\?([a-zA-Z]+)\)")
 
 
@@ -32,26 +33,34 @@ def _grouped(pattern: str) -> str:
     return f"(?:{pattern})"
 
 
-def may_hold_secret(content: Column, rules: Sequence[SecretRule]) -> Column:
-    """False only if no rule can match anywhere in the content."""
-    if not rules or any(not rule.hints for rule in rules):
-        return F.lit(bool(rules))
-    hints = dict.fromkeys(hint for rule in rules for hint in rule.hints)
-    return text.holds(F.lower(F.translate(content, _FOLD_FROM, _FOLD_TO)),
-                      lambda folded: text.any_of([folded.contains(hint) for hint in hints]))
+def folded(content: Column) -> Column:
+    """Lower case, with the odd letters a case-blind pattern takes for ASCII ones folded too."""
+    plain = content
+    for letter, ascii_letter in _FOLDED_LETTERS.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(ascii_letter))
+    return F.lower(F.when(F.length(content) == F.octet_length(content), content).otherwise(plain))
+
+
+def pattern_for(content: Column, rules: Sequence[SecretRule]) -> Column:
+    """The joined pattern of the rules whose hints the content holds; empty if no rule can match."""
+    def applicable(low: Column) -> list[Column]:
+        return [F.when(text.any_of([low.contains(hint) for hint in rule.hints]), _grouped(rule.pattern))
+                if rule.hints else F.lit(_grouped(rule.pattern)) for rule in rules]
+
+    joined = text.given(folded(content), lambda low: F.concat_ws("|", *applicable(low)))
+    return text.given(joined, lambda p: F.when(p != "", F.concat(F.lit(text.regex("")), p)).otherwise(""))
 
 
 def match_secrets(files: DataFrame, rules: Sequence[SecretRule] = BUILT_IN) -> DataFrame:
     """(…, path, content) -> one row per (file, line, rule, match) with the redacted match."""
     if not rules:
         raise ValueError("no secret rules given")
-    combined = text.regex("|".join(_grouped(rule.pattern) for rule in rules))
     path, content = F.col("path"), F.col("content")
-    candidates = files.filter(ingest.is_secret_scannable(path) & may_hold_secret(content, rules))
     numbered = F.transform(text.lines(content), lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line")))
-    hit_lines = candidates.select(
-        "repo_url", "scan_id", "path",
-        F.explode(F.filter(numbered, lambda n: n["line"].rlike(combined))).alias("hit"))
+    # regexp_instr keeps the compiled pattern from line to line; rlike would compile a computed one anew.
+    hits = text.given(pattern_for(content, rules), lambda pattern: F.when(
+        pattern != "", F.filter(numbered, lambda n: F.regexp_instr(n["line"], pattern) > 0)))
+    hit_lines = files.filter(ingest.is_secret_scannable(path)).select("repo_url", "scan_id", "path", F.explode(hits).alias("hit"))
     per_rule = F.array(*[
         F.struct(
             F.lit(rule.id).alias("rule_id"),

@@ -18,7 +18,7 @@ def _hit(check: str, line: Column) -> Column:
 
 
 def _line_of(needle: str) -> Column:
-    return text.line_of(F.col("content"), F.lit(needle))
+    return misconfig.line_of(F.lit(needle))
 
 
 def _interpolated_in_run(check: str, context: str) -> Column:
@@ -46,7 +46,7 @@ def target_with_write_all() -> Column:
 
 
 def _matching_lines(check: str, pattern: str) -> Column:
-    numbered = F.transform(text.lines(F.col("content")), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("number")))
+    numbered = F.transform(F.split("broken", "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("number")))
     found = F.filter(numbered, lambda n: n["line"].rlike(text.regex(pattern)))
     return F.transform(found, lambda n: _hit(check, n["number"].cast("bigint")))
 

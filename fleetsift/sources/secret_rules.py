@@ -33,10 +33,10 @@ _HINTS = {
     "SEC006": ("apikey", "api_key", "api-key"),
     "SEC007": (" private key-----",),
     "SEC008": ("eyj",),
-    "SEC009": ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"),
+    "SEC009": ("xox",),
     "SEC010": ("aiza",),
     "SEC011": ("sk_live_", "sk_test_"),
-    "SEC012": ("password", "passwd", "pwd"),
+    "SEC012": ("passw", "pwd"),
     "SEC013": ("mongodb://", "postgresql://", "mysql://", "redis://"),
     "SEC014": ("_authtoken",),
     "SEC015": ("docker",),

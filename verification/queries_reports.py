@@ -366,34 +366,29 @@ def _(t):
 
 # --- Report files ----------------------------------------------------------------------------
 
-@query("k01_sarif_results", """
-select scan_id, rule_id as "ruleId", case severity when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'MEDIUM' then 'warning' else 'note' end as level,
- description as message, file_path as uri, line_number as "startLine", severity, risk_score as "riskScore", finding_type as "findingType",
- cast(null as varchar) as "cveReference" from scored""")
-def _(t):
-    result = ("ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<"
-              "artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>, "
-              "properties struct<severity:string,riskScore:double,findingType:string,cveReference:string>")
-    rows = sarif.results_json(_scored(t)).select("scan_id", F.from_json("result", result).alias("r"))
-    place = F.col("r.locations")[0]["physicalLocation"]
-    return rows.select("scan_id", "r.ruleId", "r.level", F.col("r.message.text").alias("message"),
-                       place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("startLine"),
-                       "r.properties.severity", "r.properties.riskScore", "r.properties.findingType", "r.properties.cveReference")
-
-
-@query("k02_sarif_documents", """
-select s.scan_id, s.repo_url || '/blob/HEAD/' as root, coalesce(n, 0) as results, coalesce(rules, 0) as rules, coalesce(n, 0) as total, first_score from b_scans s
-left join (select scan_id, count(*) as n, count(distinct rule_id) as rules, max(risk_score) as first_score from scored group by scan_id) using (scan_id)""")
-def _(t):
-    shape = ("runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,originalUriBaseIds:map<string,struct<uri:string>>,"
-             "results:array<struct<properties:struct<riskScore:double>>>,properties:struct<totalFindings:bigint>>>")
-    docs = sarif.documents(_scored(t), _scans(t), order=_ORDER)
-    run = F.from_json("document", shape)["runs"][0]
-    return docs.select("scan_id", run.alias("run")).select(
-        "scan_id", F.col("run.originalUriBaseIds")["%SRCROOT%"]["uri"].alias("root"),
-        F.size("run.results").cast("bigint").alias("results"), F.size("run.tool.driver.rules").cast("bigint").alias("rules"),
-        F.col("run.properties.totalFindings").alias("total"),
-        F.try_element_at("run.results", F.lit(1))["properties"]["riskScore"].alias("first_score"))
+_LEVEL_SQL = "case severity when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'MEDIUM' then 'warning' else 'note' end"
+_RESULT_SQL = f"""concat('{{"ruleId":"', rule_id, '","level":"', {_LEVEL_SQL}, '","message":{{"text":"', description,
+ '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"', file_path, '","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":', cast(line_number as varchar),
+ ',"startColumn":1}}}}}}],"properties":{{"severity":"', severity, '","riskScore":', cast(risk_score as varchar), ',"findingType":"', finding_type, '"}}}}')"""
+_RULE_SQL = f"""concat('{{"id":"', rule_id, '","name":"', replace(rule_name, ' ', ''), '","shortDescription":{{"text":"', rule_name, '"}},"fullDescription":{{"text":"', description,
+ '"}},"defaultConfiguration":{{"level":"', {_LEVEL_SQL}, '"}},"helpUri":"https://github.com/advisories?query=', rule_id, '"}}')"""
+
+
+@query("k01_sarif_results", f"select scan_id, {_RESULT_SQL} as result from scored")
+def _(t):
+    return sarif.results_json(_scored(t))
+
+
+@query("k02_sarif_documents", f"""
+with listed as (select *, row_number() over (partition by scan_id, rule_id order by {_RISK_ORDER_SQL}) as rn from scored),
+bodies as (select scan_id, count(*) as n, string_agg({_RESULT_SQL}, ',' order by {_RISK_ORDER_SQL}) as results,
+  string_agg(case when rn = 1 then {_RULE_SQL} end, ',' order by {_RISK_ORDER_SQL}) as rules from listed group by scan_id)
+select s.scan_id, 0 as part, 1 as parts, concat('{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"fleetsift","version":"0.1.0",',
+ '"informationUri":"https://example.com/fleetsift","rules":[', coalesce(rules, ''), ']}}}},"originalUriBaseIds":{{"%SRCROOT%":{{"uri":"', s.repo_url, '/blob/HEAD/"}}}},"results":[', coalesce(results, ''),
+ '],"properties":{{"scannedAt":"', strftime(s.scanned_at, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","repoUrl":"', s.repo_url, '","totalFindings":', cast(coalesce(n, 0) as varchar), '}}}}]}}') as document
+from b_scans s left join bodies b using (scan_id)""")
+def _(t):
+    return sarif.documents(_scored(t), _scans(t), order=_ORDER)
 
 
 @query("k02_sarif_split_documents", """
