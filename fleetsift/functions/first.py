@@ -1,11 +1,15 @@
-"""First row per group without a window over the group."""
+"""First rows per group without a window over a whole group."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# Shares a group is cut into where Spark does not limit it before the shuffle.
+SHARES = 256
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -17,3 +21,19 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     rest = [c for c in df.columns if c not in keys and c not in order]
     least = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("row"))
     return least.select(*keys, "row.*").select(*df.columns)
+
+
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
+    """The first `limit` rows of each group, numbered by `position`.
+
+    Up to a limit Spark's setting allows, it cuts each group inside every task
+    before the shuffle.  Beyond that, groups are cut in shares first.
+    """
+    by_group = Window.partitionBy(*keys).orderBy(*order)
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if limit > threshold:
+        share = F.pmod(F.xxhash64(*df.columns), F.lit(SHARES))
+        by_share = Window.partitionBy(*keys, "_share").orderBy(*order)
+        df = (df.withColumn("_share", share).withColumn("_rank", F.row_number().over(by_share))
+              .filter(F.col("_rank") <= limit).drop("_share", "_rank"))
+    return df.withColumn("position", F.row_number().over(by_group)).filter(F.col("position") <= limit)

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fleetsift import fixed_values as V
 from fleetsift.functions import severity as sev
 from fleetsift.functions import text
-from fleetsift.functions.first import first_per_group
+from fleetsift.functions.first import first_per_group, top_per_group
 from fleetsift.operators.scoring import by_risk
 from fleetsift.schemas import FINDING_ORDER
 
@@ -116,9 +115,8 @@ def top_findings(findings: DataFrame, limit: int = V.SUMMARY_ROWS, order: Sequen
     The limit is applied inside every task before the shuffle, and the counts
     come from a partial aggregate, so a very large scan is never in one task.
     """
-    ranked = findings.withColumn("position", F.row_number().over(Window.partitionBy("scan_id").orderBy(*by_risk(order))))
     totals = findings.groupBy("scan_id").agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))
-    return ranked.filter(F.col("position") <= limit).join(totals, "scan_id")
+    return top_per_group(findings, ["scan_id"], by_risk(order), limit).join(totals, "scan_id")
 
 
 def score_bar_percent(score: Column) -> Column:

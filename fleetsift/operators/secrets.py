@@ -23,6 +23,8 @@ from fleetsift.sources.secret_rules import BUILT_IN, SecretRule
 # Letters that fold to an ASCII letter when case is ignored but not by lower().
 _FOLDED_LETTERS = {"\u017f": "s", "\u212a": "k", "\u0131": "i", "\u0130": "i"}
 _LEADING_FLAGS = re.compile(r"^\(\?([a-zA-Z]+)\)")
+# Patterns that refer to their groups by number or name cannot be joined with others.
+_GROUP_REFERENCE = re.compile(r"\\[1-9]|\\k<|\(\?<[A-Za-z]")
 
 
 def _grouped(pattern: str) -> str:
@@ -41,6 +43,10 @@ def folded(content: Column) -> Column:
     return F.lower(F.when(F.length(content) == F.octet_length(content), content).otherwise(plain))
 
 
+def _joinable(rule: SecretRule) -> bool:
+    return not _GROUP_REFERENCE.search(rule.pattern)
+
+
 def pattern_for(content: Column, rules: Sequence[SecretRule]) -> Column:
     """The joined pattern of the rules whose hints the content holds; empty if no rule can match."""
     def applicable(low: Column) -> list[Column]:
@@ -51,16 +57,29 @@ def pattern_for(content: Column, rules: Sequence[SecretRule]) -> Column:
     return text.given(joined, lambda p: F.when(p != "", F.concat(F.lit(text.regex("")), p)).otherwise(""))
 
 
+def hit_lines_of(content: Column, rules: Sequence[SecretRule]) -> Column:
+    """The lines some rule matches, as (line_number, line); NULL where no rule can match the file."""
+    numbered = F.transform(text.lines(content), lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line")))
+    joined = [rule for rule in rules if _joinable(rule)]
+    alone = [text.regex(rule.pattern) for rule in rules if not _joinable(rule)]
+
+    def matching(pattern: Column) -> Column:
+        # regexp_instr keeps the compiled pattern from line to line; rlike would compile a computed one anew.
+        def hit(n: Column) -> Column:
+            return text.any_of([(pattern != "") & (F.regexp_instr(n["line"], pattern) > 0), *[n["line"].rlike(p) for p in alone]])
+
+        return F.when((pattern != "") | F.lit(bool(alone)), F.filter(numbered, hit))
+
+    return text.given(pattern_for(content, joined) if joined else F.lit(""), matching)
+
+
 def match_secrets(files: DataFrame, rules: Sequence[SecretRule] = BUILT_IN) -> DataFrame:
     """(…, path, content) -> one row per (file, line, rule, match) with the redacted match."""
     if not rules:
         raise ValueError("no secret rules given")
     path, content = F.col("path"), F.col("content")
-    numbered = F.transform(text.lines(content), lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line")))
-    # regexp_instr keeps the compiled pattern from line to line; rlike would compile a computed one anew.
-    hits = text.given(pattern_for(content, rules), lambda pattern: F.when(
-        pattern != "", F.filter(numbered, lambda n: F.regexp_instr(n["line"], pattern) > 0)))
-    hit_lines = files.filter(ingest.is_secret_scannable(path)).select("repo_url", "scan_id", "path", F.explode(hits).alias("hit"))
+    scannable = files.filter(ingest.is_secret_scannable(path))
+    hit_lines = scannable.select("repo_url", "scan_id", "path", F.explode(hit_lines_of(content, rules)).alias("hit"))
     per_rule = F.array(*[
         F.struct(
             F.lit(rule.id).alias("rule_id"),

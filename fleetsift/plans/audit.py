@@ -35,9 +35,8 @@ def scan_files(files: DataFrame, *, requests: DataFrame | None = None, raw_depen
         if cve_feed is None:
             raise ValueError("dependency audits need the CVE table")
         others.append(deps.dependency_findings(raw_dependencies, cve_feed))
-    if requests is not None:
-        others = [ingest.drop_skipped_scanners(o, requests) for o in others]
-    return scoring.union_findings(*parts, *others)
+    found = scoring.union_findings(*parts, *others)
+    return found if requests is None else conform(ingest.drop_skipped_scanners(found, requests), FINDINGS)
 
 
 def run_audit(files: DataFrame, scans: DataFrame, out: str, batch: int, *, threshold: str = "HIGH", **inputs) -> DataFrame:

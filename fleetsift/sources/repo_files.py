@@ -59,24 +59,29 @@ def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batch_bytes = 16 << 20
+    schema = pa.schema([("repo_url", pa.string()), ("scan_id", pa.int64()), ("path", pa.string()), ("raw", pa.binary())])
+    rows, held = [], 0
     for batch in batches:
         for row in batch.to_pylist():
             try:
-                with open(os.path.join(row["root"], row["path"]), "rb") as handle:
-                    raw = handle.read()
+                with open(os.path.join(row.pop("root"), row["path"]), "rb") as handle:
+                    row["raw"] = handle.read()
             except OSError:
-                raw = b""
-            yield pa.RecordBatch.from_pydict({
-                "repo_url": pa.array([row["repo_url"]], pa.string()),
-                "scan_id": pa.array([row["scan_id"]], pa.int64()),
-                "path": pa.array([row["path"]], pa.string()),
-                "raw": pa.array([raw], pa.binary()),
-            })
+                row["raw"] = b""
+            rows.append(row)
+            held += len(row["raw"])
+            if held >= batch_bytes:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def list_checkouts(checkouts: DataFrame) -> DataFrame:
     """(repo_url, scan_id, root) -> one row per regular file below each root."""
-    return (checkouts.select("repo_url", "scan_id", "root")
+    partitions = int(checkouts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (checkouts.select("repo_url", "scan_id", "root").repartition(partitions, "root")
             .mapInArrow(_list_batches, "repo_url string, scan_id bigint, root string, path string"))
 
 

@@ -99,6 +99,13 @@ def test_hot_key_and_partition_invariance(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_top_findings_beyond_the_limit_spark_cuts_early(spark):
+    scored = scoring.score_findings(findings_of(spark, *[(n % 2, f"R{n % 7}", f"f{n % 3}", n) for n in range(3000)]))
+    whole = sorted((r.scan_id, r.position, r.line_number) for r in report.top_findings(scored, 1200).collect())
+    assert len(whole) == 2400
+    assert [r for r in whole if r[1] <= 50] == sorted((r.scan_id, r.position, r.line_number) for r in report.top_findings(scored, 50).collect())
+
+
 def test_empty_scan_passes(spark):
     scans = scans_of(spark, (1, "r"), (2, "r")).withColumn("error", F.when(F.col("scan_id") == 2, "no access"))
     none = scoring.score_findings(findings_of(spark, (1, "A", "f", 1)).limit(0))

@@ -70,6 +70,13 @@ def test_user_rule_without_hint_and_with_anchor(make_files):
     assert [(r[0], r[1]) for r in both] == [(1, "U1"), (2, "SEC001")]
 
 
+def test_rule_that_refers_to_its_own_group(make_files):
+    rule = SecretRule("U2", "n", r"(['\"])(?:tok)\1", "LOW", "d", hints=("tok",))
+    content = "x 'tok' y\n'tok\"\n" + SAMPLES["SEC001"]
+    assert [(r[0], r[1]) for r in found_in(make_files, content, [*BUILT_IN, rule])] == [(1, "U2"), (3, "SEC001")]
+    assert [(r[0], r[1]) for r in found_in(make_files, content, [rule])] == [(1, "U2")]
+
+
 def test_unscannable_file_and_high_risk_name(make_files):
     assert found_in(make_files, SAMPLES["SEC001"], path="a.md") == []
     rows = secrets.secret_findings(make_files(("x/.npmrc", SAMPLES["SEC001"]), ("x/a.py", SAMPLES["SEC001"]))).collect()

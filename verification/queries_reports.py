@@ -487,7 +487,7 @@ def _(t):
 def _(t):
     base = working_directory(t.spark, "summaries")
     runs.keep_snapshot(logs.log_stats(t.stream("b_logs")), f"{base}/stats", f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/stats")
+    return runs.latest_snapshot(t.spark, f"{base}/stats", ["scan_id"])
 
 
 @query("t02_batch_summaries", "select * from log_summary")
@@ -502,7 +502,7 @@ from log_summary left join (select report_scan, path from (select *, row_number(
 def _(t):
     base = working_directory(t.spark, "status")
     runs.keep_snapshot(logs.log_stats(t.stream("b_logs")), f"{base}/stats", f"{base}/checkpoint")
-    stats = t.spark.read.parquet(f"{base}/stats")
+    stats = runs.latest_snapshot(t.spark, f"{base}/stats", ["scan_id"])
     exits = t.table("events").select(F.col("user_id").alias("scan_id")).distinct().filter("scan_id % 7 <> 0").withColumn("exit_code", (F.col("scan_id") % 4).cast("int"))
     newest = report.newest_reports(t.view("b_reports").selectExpr("report_scan as scan_id", "ext", "path", "scanned_at as mtime"))
     return logs.status_snapshots(stats, exits, newest.filter("ext = 'html'").select("scan_id", F.col("path").alias("report")))
