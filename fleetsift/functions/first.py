@@ -36,4 +36,4 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], l
         by_share = Window.partitionBy(*keys, "_share").orderBy(*order)
         df = (df.withColumn("_share", share).withColumn("_rank", F.row_number().over(by_share))
               .filter(F.col("_rank") <= limit).drop("_share", "_rank"))
-    return df.withColumn("position", F.row_number().over(by_group)).filter(F.col("position") <= limit)
+    return df.withColumn("position", F.row_number().over(by_group).cast("bigint")).filter(F.col("position") <= limit)

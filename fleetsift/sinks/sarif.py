@@ -112,7 +112,12 @@ def documents(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fleetsif
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One text line per document, in a directory per scan range, so directory counts stay bounded."""
-    (docs.withColumn("scan_range", F.floor(F.col("scan_id") / 10_000))
+    """One text line per document, in a directory per scan range, so directory counts stay bounded.
+
+    Spread by range first: a task writes neighbouring scans, so to few
+    directories, and the documents of a very large scan come from many tasks.
+    """
+    (docs.repartitionByRange("scan_id", "part")
+     .withColumn("scan_range", F.floor(F.col("scan_id") / 10_000))
      .select("scan_range", F.col("document").alias("value"))
      .write.mode("overwrite").partitionBy("scan_range").text(path))

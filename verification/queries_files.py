@@ -30,13 +30,6 @@ def _(t):
     return repo_files.decode_files(t.files.withColumn("raw", raw).drop("content")).select("scan_id", "path", "content", "size_bytes")
 
 
-@query("s07_secret_rules", "select * from (values " + ", ".join(
-    f"({_sql(r[0])}, {_sql(r[1])}, {_sql(r[2])}, {_sql(r[3])}, cast(null as varchar))" for r in V.SECRET_RULES)
-    + ") t(id, name, pattern, severity, cve_reference) where (select count(*) from documents) > 0")
-def _(t):
-    return secret_rules.secret_rules(t.spark).select("id", "name", "pattern", "severity", "cve_reference")
-
-
 @query("p01_owner_and_name", r"""
 select repo_url, case when len(p) < 2 then 'unknown' else p[-2] end as owner,
   case when len(p) < 2 then 'unknown' else replace(p[-1], '.git', '') end as repo_name
@@ -186,6 +179,19 @@ def _(t):
     return secrets.match_secrets(docs, [_USER_RULE]).select("scan_id", "line_number", "redacted")
 
 
+@query("s07_secret_rules", f"""
+with ls as ({_LINES_SQL}), found as ({' union all '.join(_rule_matches_sql(r) for r in V.SECRET_RULES)})
+select id, r.name, pattern, r.severity, cast(null as varchar) as cve_reference, count(distinct path) as files from
+ (values {', '.join(f"({_sql(r[0])}, {_sql(r[1])}, {_sql(r[2])}, {_sql(r[3])})" for r in V.SECRET_RULES)}) r(id, name, pattern, severity)
+ left join found on id = rule_id group by all""")
+def _(t):
+    # The catalogue, and how many files each rule finds something in.
+    files = secrets.match_secrets(t.files).select("rule_id", "path").distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("files"))
+    rules = secret_rules.secret_rules(t.spark)
+    return rules.join(files, rules["id"] == files["rule_id"], "left").select(
+        "id", "name", "pattern", "severity", "cve_reference", F.coalesce("files", F.lit(0)).alias("files"))
+
+
 @query("j05_rule_texts", f"""
 with ls as ({_LINES_SQL}), found as ({' union all '.join(_rule_matches_sql(r) for r in V.SECRET_RULES)})
 select rule_id, rule_name, severity as rule_severity, count(*) as findings from found group by all""")
