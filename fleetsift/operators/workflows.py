@@ -147,7 +147,8 @@ def parse_workflows(files: DataFrame) -> DataFrame:
 
     Files that do not parse to a mapping are dropped.  File sizes skew, so the
     files are spread by path first: one repository with most of the files does
-    not end up in one task.
+    not end up in one task.  The number of tasks is set, not left to adaptive
+    execution: parsing takes time, not bytes, and by bytes there would be few.
     """
     partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = (ingest.yaml_files(files).select("repo_url", "scan_id", "path", "content")
