@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsift.llm import quality_classifier, quality_rules, sentencepiece_codec
+from fleetsift.llm import licenses, quality_classifier, quality_rules, sentencepiece_codec
 from fleetsift.llm.common import table
 from fleetsift.llm.mixing import POWERS, mix
 from fleetsift.llm.ngram_join import jaccard_join
@@ -134,6 +134,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+@query("op1_license_scans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.load_model(spark, TOKENIZER)
