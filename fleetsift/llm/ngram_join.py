@@ -89,6 +89,8 @@ def _sketch(shingles: np.ndarray, multipliers: np.ndarray, masks: np.ndarray) ->
         part = low[start:start + 4096, None] ^ masks
         part *= multipliers
         np.minimum(out, part.min(axis=0), out=out)
+    # Smallest values lie near 0: they are hashed again before 16 bits are kept, or few values would be left.
+    out = (out ^ (out >> np.uint32(15))) * np.uint32(0x85EBCA6B)
     return (out >> np.uint32(16)).astype("<u2")
 
 

@@ -232,7 +232,9 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     length and digest are those of the record they refer to.
     """
     columns = "archive string, page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint, error string"
-    return archives.select("archive").repartition("archive").mapInArrow(_reader(with_payload), columns)
+    # As many tasks as archives, within reason: paths are so short that they would all be put into one.
+    tasks = max(1, min(10_000, archives.count()))
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(_reader(with_payload), columns)
 
 
 def round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:
