@@ -51,12 +51,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def dictionary_of(records: list[bytes]) -> bytes:
-    """A trained dictionary, or none where the records are too few or too short for one."""
+    """A trained dictionary; where the records are too few or too short for one, their own beginnings."""
     samples = [r[:32_768] for r in records[:DICTIONARY_PAYLOADS]]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
+        trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        trained = b""
+    return trained or b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def _write_archive(folder: str, records: list[bytes]) -> dict:
