@@ -65,7 +65,7 @@ def _write_archive(folder: str, records: list[bytes]) -> dict:
     name = f"{uuid.uuid4().hex}.warc.zst"
     dictionary = dictionary_of(records)
     packer = zstandard.ZstdCompressor(level=3, write_checksum=True, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
-    with system.open_output_stream(f"{at}/{name}") as out:
+    with system.open_output_stream(f"{at}/{name}", compression=None) as out:
         if dictionary:
             packed = zstandard.compress(dictionary)
             out.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
@@ -209,7 +209,7 @@ def _reader(with_payload: bool):
             for archive in batch.column(0).to_pylist():
                 system, at = fs.FileSystem.from_uri(archive)
                 rows, size = [], 0
-                with system.open_input_stream(at) as stream:
+                with system.open_input_stream(at, compression=None) as stream:
                     for data, error in frames(stream):
                         row = parsed(data) if error is None else {"error": error}
                         size += row["payload_bytes"] or 0 if error is None else 0
