@@ -1,17 +1,33 @@
-"""Dotted version numbers as comparable arrays."""
+"""Version numbers as comparable arrays."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_VERSION = r"(?i)^v?(\d+(?:\.\d+)*)(?:[-_.]?(dev|alpha|a|beta|b|preview|pre|rc|c)[-_.]?(\d*))?$"
+
 
 def is_plain(version: Column) -> Column:
-    """Only digits and dots; anything else (pre-releases, ranges) is out of scope."""
-    return F.coalesce(F.regexp_like(version, F.lit(r"^\d{1,9}(\.\d{1,9})*$")), F.lit(False))
+    """Digits and dots, with at most a pre-release at the end; anything else (ranges) is out of scope."""
+    return F.coalesce(F.regexp_like(version, F.lit(_VERSION)), F.lit(False))
+
+
+def _number(digits: Column) -> Column:
+    """Digits of any length as text that sorts as the number does."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 6, "0"), bare)
 
 
 def version_key(version: Column) -> Column:
-    """`1.10.2` as `[1, 10, 2]`; NULL unless plain.  Arrays compare element by element."""
-    parts = F.transform(F.split(version, "[.]"), lambda part: part.cast("int"))
-    return F.when(is_plain(version), parts)
+    """An array that sorts as the version does; NULL unless plain.
+
+    Zeros at the end say nothing (1.0 equals 1.0.0), a pre-release comes before its release and
+    after every lower one, numbers may have any length.
+    """
+    release = F.regexp_replace(F.regexp_extract(version, _VERSION, 1), r"(\.0+)+$", "")
+    parts = F.transform(F.split(release, "[.]"), lambda part: F.concat(F.lit("2"), _number(part)))
+    phase = F.lower(F.regexp_extract(version, _VERSION, 2))
+    rank = F.when(phase == "dev", "0").when(phase.isin("a", "alpha"), "1").when(phase.isin("b", "beta"), "2").otherwise("3")
+    end = F.when(phase == "", F.lit("1")).otherwise(F.concat(F.lit("0"), rank, _number(F.regexp_extract(version, _VERSION, 3))))
+    return F.when(is_plain(version), F.concat(parts, F.array(end)))

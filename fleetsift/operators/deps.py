@@ -123,22 +123,30 @@ def match_advisories(declared: DataFrame, advisories: DataFrame) -> DataFrame:
     """Declared dependencies with `introduced <= version < fixed` for some advisory.
 
     One row per (scan, file, ecosystem, package, version, CVE), with the lowest
-    fixed version that clears it.  The range test runs over the distinct
+    fixed version that clears it; NULL where no version does yet.  An advisory
+    without `introduced` holds from the first version on.  Python packages are
+    told apart by their normalized names.  The range test runs over the distinct
     versions of each package, of which there are few however many repositories
     declare them, and its result is joined back by equality.  Versions that are
-    not plain numbers match nothing; `unparsed_versions` lists them.
+    not plain match nothing; `unparsed_versions` lists them.
     """
-    entries = declared.select("scan_id", "file_path", "ecosystem", "package", "version").distinct()
-    distinct_versions = (entries.select("ecosystem", "package", "version").distinct()
+    entries = declared.select("scan_id", "file_path", "ecosystem", "package", "version").distinct().withColumn("name", _normal_name())
+    distinct_versions = (entries.select("ecosystem", "name", "version").distinct()
                          .withColumn("v", versions.version_key(F.col("version"))).filter("v is not null"))
-    ranges = (advisories.select("ecosystem", "package", "cve_id", "introduced", "fixed").distinct()
+    ranges = (advisories.select("ecosystem", _normal_name().alias("name"), "cve_id", "introduced", "fixed").distinct()
               .withColumns({"low": versions.version_key(F.col("introduced")), "high": versions.version_key(F.col("fixed"))})
-              .filter("low is not null and high is not null"))
-    affected = (distinct_versions.join(ranges, ["ecosystem", "package"])
-                .filter((F.col("low") <= F.col("v")) & (F.col("v") < F.col("high")))
-                .groupBy("ecosystem", "package", "version", "cve_id")
-                .agg(F.min_by("fixed", F.struct("high", "fixed")).alias("fixed")))
-    return entries.join(affected, ["ecosystem", "package", "version"])
+              .filter("(introduced is null or low is not null) and (fixed is null or high is not null)"))
+    affected = (distinct_versions.join(ranges, ["ecosystem", "name"])
+                .filter((F.col("low").isNull() | (F.col("low") <= F.col("v"))) & (F.col("high").isNull() | (F.col("v") < F.col("high"))))
+                .groupBy("ecosystem", "name", "version", "cve_id")
+                .agg(F.min_by("fixed", F.struct(F.col("fixed").isNull(), "high", "fixed")).alias("fixed")))
+    return entries.join(affected, ["ecosystem", "name", "version"]).select(
+        "ecosystem", "package", "version", "scan_id", "file_path", "cve_id", "fixed")
+
+
+def _normal_name() -> Column:
+    python = F.lower(F.regexp_replace("package", "[-_.]+", "-"))
+    return F.when(F.col("ecosystem") == "python", python).otherwise(F.col("package"))
 
 
 def unparsed_versions(declared: DataFrame) -> DataFrame:
@@ -149,7 +157,7 @@ def raw_from_advisories(matches: DataFrame) -> DataFrame:
     """Advisory matches in the form of raw vulnerabilities, for `dependency_findings`."""
     return matches.select(
         "scan_id", "file_path", "ecosystem", "package", "version", "cve_id",
-        F.array("fixed").alias("fix_versions"), F.lit("").alias("description"),
+        F.array_compact(F.array("fixed")).alias("fix_versions"), F.lit("").alias("description"),
         F.when(F.col("ecosystem") == "python", 0).otherwise(1).alias("source_rank"),
         F.struct("version", "fixed").alias("position"))
 

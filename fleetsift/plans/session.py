@@ -26,6 +26,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def working_directory(spark: SparkSession, purpose: str) -> str:
-    """A new directory in the shared folder the cluster names; a temporary one where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetsift-")
+    """A new directory in the shared folder that spark.checkpoint.dir names.  Only a local session may go
+    without: on a cluster every executor would write to a disk of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="fleetsift-")
     return f"{base.rstrip('/')}/fleetsift-{purpose}-{uuid.uuid4().hex}"

@@ -41,21 +41,26 @@ def decode_files(files: DataFrame, raw: str = "raw") -> DataFrame:
 def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            root = row["root"]
-            paths = []
+            root, paths = row["root"], []
+
+            def listed(row=row):
+                return pa.RecordBatch.from_pydict({
+                    "repo_url": pa.array([row["repo_url"]] * len(paths), pa.string()),
+                    "scan_id": pa.array([row["scan_id"]] * len(paths), pa.int64()),
+                    "root": pa.array([row["root"]] * len(paths), pa.string()),
+                    "path": pa.array(paths, pa.string()),
+                })
+
             for directory, _, names in os.walk(root):
                 for name in names:
                     full = os.path.join(directory, name)
                     if os.path.isfile(full):
                         paths.append(os.path.relpath(full, root).replace(os.sep, "/"))
-            for start in range(0, len(paths), 10_000):
-                part = paths[start:start + 10_000]
-                yield pa.RecordBatch.from_pydict({
-                    "repo_url": pa.array([row["repo_url"]] * len(part), pa.string()),
-                    "scan_id": pa.array([row["scan_id"]] * len(part), pa.int64()),
-                    "root": pa.array([root] * len(part), pa.string()),
-                    "path": pa.array(part, pa.string()),
-                })
+                    if len(paths) == 10_000:
+                        yield listed()
+                        paths.clear()
+            if paths:
+                yield listed()
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

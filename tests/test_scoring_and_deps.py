@@ -84,25 +84,24 @@ def test_upsert_keeps_the_last(spark):
 
 
 def test_advisories_against_brute_force(spark):
-    versions = ["1.0.0", "1.2", "1.10.0", "2.0.0rc1", "0.9"]
+    """Against the comparison that Python's own packaging tools make."""
+    from packaging.version import Version
+
+    versions = ["1.0", "1.0.0", "1.2", "1.10.0", "2.0.0rc1", "1.0.1.dev3", "0.9", "20230101120000", "^1.0"]
     declared = spark.createDataFrame([(1, f"f{i % 2}", "python", "p", v) for i, v in enumerate(versions * 3)],
                                      "scan_id bigint, file_path string, ecosystem string, package string, version string")
-    ranges = [("CVE-1", "1.0.0", "1.10.0"), ("CVE-1", "1.0.0", "1.5.0"), ("CVE-2", "0.1", "1.0.1"), ("CVE-3", "x", "9")]
+    ranges = [("CVE-1", "1.0.0", "1.10.0"), ("CVE-1", "1.0.0", "1.5.0"), ("CVE-2", "0.1", "1.0.1"), ("CVE-4", "0.1", "1.0.0"), ("CVE-5", "2.0", None), ("CVE-6", "1.3", "2"), ("CVE-3", "x", "9")]
     advisories = spark.createDataFrame([("python", "p", *r) for r in ranges] + [("node", "p", "CVE-9", "0.0", "9.0")],
                                        "ecosystem string, package string, cve_id string, introduced string, fixed string")
-
-    def key(v):
-        return [int(x) for x in v.split(".")]
-
     expected = set()
-    for row in {(r.file_path, r.version) for r in declared.collect()}:
-        for cve in ("CVE-1", "CVE-2"):
-            if "rc" not in row[1]:
-                hits = [high for c, low, high in ranges if c == cve and key(low) <= key(row[1]) < key(high)]
-                if hits:
-                    expected.add((*row, cve, min(hits, key=key)))
+    for row in {(r.file_path, r.version) for r in declared.collect() if r.version != "^1.0"}:
+        for cve in {r[0] for r in ranges} - {"CVE-3"}:
+            hits = [high for c, low, high in ranges
+                    if c == cve and Version(low) <= Version(row[1]) and (high is None or Version(row[1]) < Version(high))]
+            if hits:
+                expected.add((*row, cve, min(hits, key=lambda v: Version(v or "0"))))
     assert {(r.file_path, r.version, r.cve_id, r.fixed) for r in deps.match_advisories(declared, advisories).collect()} == expected
-    assert {r.version for r in deps.unparsed_versions(declared).collect()} == {"2.0.0rc1"}
+    assert {r.version for r in deps.unparsed_versions(declared).collect()} == {"^1.0"}
 
 
 def test_declared_dependencies(make_files):
@@ -111,3 +110,32 @@ def test_declared_dependencies(make_files):
                        ("node_modules/z/package.json", '{"dependencies": {"no": "1"}}'), ("c/package.json", "{"))
     assert {(r.ecosystem, r.package, r.version) for r in deps.declared_dependencies(files).collect()} == {
         ("python", "Django", "3.2.1"), ("python", "flask", "2.0"), ("node", "left-pad", "1.0.0"), ("node", "x", "2.1")}
+
+
+def test_versions_sort_as_releases_do(spark):
+    from pyspark.sql import functions as F
+
+    from fleetsift.functions import versions
+
+    ascending = [["0.9"], ["1.0.dev1"], ["1.0a2", "1.0-alpha.2"], ["1.0b1"], ["1.0rc1", "1.0.0-rc.1"], ["1", "1.0", "v1.0.0", "01.00"], ["1.1"], ["1.10"], ["2"],
+                 ["20230101120000"], ["20230101120001"]]
+    pairs = [(v, k) for k, group in enumerate(ascending) for v in group]
+    keys = {r.v: r.key for r in spark.createDataFrame(pairs, "v string, k int").select("v", versions.version_key(F.col("v")).alias("key")).collect()}
+    for v, k in pairs:
+        for w, m in pairs:
+            assert (keys[v] < keys[w]) == (k < m) and (keys[v] == keys[w]) == (k == m)
+    odd = spark.createDataFrame([("^1.0",), (">=2",), ("",), (None,), ("1..2",)], "v string")
+    assert all(r[0] is None for r in odd.select(versions.version_key(F.col("v"))).collect())
+
+
+def test_advisories_without_a_fix_and_python_names(spark):
+    from fleetsift.operators import deps
+
+    declared = spark.createDataFrame([(1, "r.txt", "python", "Django_Rest", "1.5"), (1, "r.txt", "python", "other", "1.0"), (1, "p.json", "node", "Lib", "1.5")],
+                                     "scan_id bigint, file_path string, ecosystem string, package string, version string")
+    advisories = spark.createDataFrame([("python", "django-rest", "C1", "1.0", None), ("python", "Django.Rest", "C2", None, "2"), ("python", "other", "C3", "0", "1.0.0"),
+                                        ("node", "lib", "C4", "1", None)], "ecosystem string, package string, cve_id string, introduced string, fixed string")
+    got = {(r.package, r.cve_id, r.fixed) for r in deps.match_advisories(declared, advisories).collect()}
+    assert got == {("Django_Rest", "C1", None), ("Django_Rest", "C2", "2")}
+    raw = deps.raw_from_advisories(deps.match_advisories(declared, advisories)).collect()
+    assert {tuple(r.fix_versions) for r in raw} == {(), ("2",)}

@@ -120,10 +120,10 @@ def _(t):
 select cve_id, base_score, severity, fetched from (
  select *, row_number() over (partition by cve_id order by fetched desc) as rn from (
   select cve_id, base_score, severity, 1 as fetched from b_nvd union all
-  select concat('CVE-2024-', lpad(cast(p_partkey + 60 as varchar), 5, '0')), 9.9e0, 'CRITICAL', 2 from part where p_partkey < 120)) where rn = 1""")
+  select concat('CVE-2024-', lpad(cast(p_partkey + 60 as varchar), 5, '0')), 9.9e0, 'CRITICAL', 2 from part where p_partkey % 2 = 0)) where rn = 1""")
 def _(t):
     old = t.nvd.withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
-    new = t.table("part").filter("p_partkey < 120").selectExpr(
+    new = t.table("part").filter("p_partkey % 2 = 0").selectExpr(
         "concat('CVE-2024-', lpad(cast(p_partkey + 60 as string), 5, '0')) as cve_id", "9.9D as base_score", "'CRITICAL' as severity",
         "'LOCAL' as attack_vector", "'' as privileges_required", "'' as description", "array('') as references",
         "timestamp'2024-02-01' as fetched_at")

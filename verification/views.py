@@ -99,12 +99,12 @@ select l_orderkey % 40 as scan_id, l_orderkey * 10 + l_linenumber as ordinal,
  case when l_returnflag = 'N' then 'package.json' else 'requirements.txt' end as file_path
 from lineitem
 """,
-    # part -> CVE feed; ids 120..149 deliberately missing
+    # part -> CVE feed; every seventh id deliberately missing
     "b_nvd": r"""
 select concat('CVE-2024-', lpad(cast(p_partkey as string), 5, '0')) as cve_id, cast(p_partkey % 101 as double) / 10e0 as base_score,
  case when p_size % 2 = 0 then 'NETWORK' else 'LOCAL' end as attack_vector,
  case p_partkey % 4 when 0 then 'CRITICAL' when 1 then 'HIGH' when 2 then 'MEDIUM' else 'LOW' end as severity, p_name as description
-from part where p_partkey < 120
+from part where p_partkey % 7 <> 3
 """,
     # part -> affected version ranges, for E07
     "b_advisories": r"""
