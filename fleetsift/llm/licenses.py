@@ -61,6 +61,11 @@ def ngrams(words: str) -> Column:
     return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
 
 
+def anchored(words: str, cues: list[str]) -> Column:
+    """The n-grams that hold a cue: the only ones that can be features."""
+    return F.filter(ngrams(words), lambda g: F.arrays_overlap(F.split(g, " "), F.array(*[F.lit(c) for c in cues])))
+
+
 class LicenseModel:
     """Cues, weights (n-gram, one number for each class), intercepts, classes and a temperature."""
 
@@ -80,8 +85,7 @@ def train(docs: DataFrame, notices=None, id_col: str = "doc_id", text_col: str =
     common = {r[0] for r in plain.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > max(1, n_plain / 100)).collect()}
     vocabulary = {r[0] for r in known.select(F.explode("words")).distinct().collect()}
     cues = sorted(w for w in vocabulary - common if len(w) > 1)
-    anchored = F.filter(ngrams("words"), lambda g: F.arrays_overlap(F.split(g, " "), F.array(*[F.lit(c) for c in cues])))
-    grams = sorted(r[0] for r in known.select(F.explode(anchored)).distinct().collect())
+    grams = sorted(r[0] for r in known.select(F.explode(anchored("words", cues))).distinct().collect())
     variant = F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))
     varied = known.withColumn("variant", variant).withColumn("seed", F.md5(F.concat_ws(" ", "words", "variant")))
     drop = lambda w, i: (F.col("variant") < 2) | (F.conv(F.substring(F.md5(F.concat(F.col("seed"), i.cast("string"))), 1, 6), 16, 10).cast("double") / 16 ** 6 >= DROPPED)
@@ -121,7 +125,7 @@ def scan(docs: DataFrame, model: LicenseModel, notices=None, least: float = 0.5,
     lines = cued.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.arrays_overlap(line_words("line"), cues))
     lines = written(lines, "licence-paragraphs")
     # Equal paragraphs are judged once.
-    grams = lines.select("line").distinct().withColumn("words", line_words("line")).select("line", F.explode(ngrams("words")).alias("gram"))
+    grams = lines.select("line").distinct().withColumn("words", line_words("line")).select("line", F.explode(anchored("words", model.cues)).alias("gram"))
     n = len(model.classes)
     table = spark.createDataFrame(model.weights, "gram string, w array<double>")  # as many rows as the notices have n-grams
     sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"s{k}") for k in range(n)]
