@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Shares a group is cut into where Spark does not limit it before the shuffle.
-SHARES = 256
-
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each group by `order`; ties by the remaining columns, NULLs first.
@@ -26,14 +23,11 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
     """The first `limit` rows of each group, numbered by `position`.
 
-    Up to a limit Spark's setting allows, it cuts each group inside every task
-    before the shuffle.  Beyond that, groups are cut in shares first.
+    Each input task's share of a group is cut to `limit` rows first, so a group
+    of any size is never sorted whole by one task, whatever the limit.
     """
     by_group = Window.partitionBy(*keys).orderBy(*order)
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if limit > threshold:
-        share = F.pmod(F.xxhash64(*df.columns), F.lit(SHARES))
-        by_share = Window.partitionBy(*keys, "_share").orderBy(*order)
-        df = (df.withColumn("_share", share).withColumn("_rank", F.row_number().over(by_share))
-              .filter(F.col("_rank") <= limit).drop("_share", "_rank"))
-    return df.withColumn("position", F.row_number().over(by_group).cast("bigint")).filter(F.col("position") <= limit)
+    by_share = Window.partitionBy(*keys, "_share").orderBy(*order)
+    cut = (df.withColumn("_share", F.spark_partition_id()).withColumn("_rank", F.row_number().over(by_share))
+           .filter(F.col("_rank") <= limit).drop("_share", "_rank"))
+    return cut.withColumn("position", F.row_number().over(by_group).cast("bigint")).filter(F.col("position") <= limit)

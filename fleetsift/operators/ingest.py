@@ -162,18 +162,11 @@ def drop_skipped_scanners(findings: DataFrame, requests: DataFrame) -> DataFrame
     return joined.filter(~skipped).drop(*SKIP_FLAG.values())
 
 
-# Scan ids a broadcast may hold: eight megabytes of ids.
-BROADCAST_IDS = 1_000_000
-
-
-def files_to_scan(files: DataFrame, requests: DataFrame, scanner: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def files_to_scan(files: DataFrame, requests: DataFrame, scanner: str) -> DataFrame:
     """Files of the scans that want `scanner`, to save the scanner's work.
 
-    File contents are never shuffled for this: if more scans switch the scanner
-    off than a broadcast may hold, all files are kept, and
-    `drop_skipped_scanners` drops the findings afterwards.
+    Spark broadcasts the switched-off scan ids if they are few by its own
+    measure; no job runs while the plan is built.
     """
     off = requests.filter(F.col(SKIP_FLAG[scanner])).select("scan_id").distinct()
-    if off.limit(broadcast_ids + 1).count() > broadcast_ids:
-        return files
-    return files.join(F.broadcast(off), "scan_id", "left_anti")
+    return files.join(off, "scan_id", "left_anti")

@@ -7,7 +7,6 @@ expression over it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,26 +21,38 @@ from fleetsift.shipping import ship_by_value
 
 ship_by_value(__name__)
 
-_FAST_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-# Documents nested this deeply go to the loader that raises instead of crashing.
-_DEEP_BLOCK = re.compile(r"(?:[-?:][ \t]+){200}")
-_DEEP_FLOW = 1000
 _MISSING = object()
 
 
 def _load(content: str):
-    deep = content.count("[") + content.count("{") > _DEEP_FLOW or _DEEP_BLOCK.search(content)
-    if not deep:
-        try:
-            return yaml.load(content, Loader=_FAST_LOADER)
-        except yaml.YAMLError:
-            pass
+    """One loader for every file: the faster one accepts and refuses other texts, and deep ones end its process."""
     return yaml.load(content, Loader=yaml.SafeLoader)
 
 
+def _shown(value) -> str:
+    """`str(value)`, but a container that aliases bring in again is shown as `[...]` or `{...}`, as one that
+    holds itself is; so the text never outgrows the file."""
+    seen = set()
+
+    def show(part) -> str:
+        if not isinstance(part, (dict, list, tuple)):
+            return repr(part)
+        left, right = "{}" if isinstance(part, dict) else "[]" if isinstance(part, list) else "()"
+        if id(part) in seen:
+            return f"{left}...{right}"
+        seen.add(id(part))
+        if isinstance(part, dict):
+            inner = ", ".join(f"{show(k)}: {show(v)}" for k, v in part.items())
+        else:
+            inner = ", ".join(map(show, part)) + ("," if isinstance(part, tuple) and len(part) == 1 else "")
+        return left + inner + right
+
+    return show(value) if isinstance(value, (dict, list, tuple)) else str(value)
+
+
 def _clean(value) -> str:
     """Text of a value; lone surrogates, which no table can hold, are dropped."""
-    out = value if isinstance(value, str) else str(value)
+    out = value if isinstance(value, str) else _shown(value)
     return out if out.isascii() else out.encode("utf-8", "ignore").decode("utf-8")
 
 

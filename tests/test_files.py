@@ -64,9 +64,10 @@ def test_scanner_switched_off_before_it_runs(make_files, spark):
     requests = spark.createDataFrame([(1, True, False, None)], "scan_id bigint, skip_secrets boolean, skip_misconfigs boolean, skip_deps boolean")
     files = make_files(("a.py", ""))
     assert ingest.files_to_scan(files, requests, "secret").count() == 0
-    assert ingest.files_to_scan(files, requests, "secret", broadcast_ids=0).count() == 1
     assert ingest.files_to_scan(files, requests, "misconfig").count() == 1
     assert ingest.files_to_scan(files, requests, "dependency").count() == 1
+    none = spark.createDataFrame([], requests.schema)
+    assert ingest.files_to_scan(files, none, "secret").count() == 1
 
 
 def test_filter_reaches_the_scan(spark, tmp_path, make_files):

@@ -158,3 +158,24 @@ def test_surrogates_do_not_break_the_table(make_files):
 def test_one_parse_for_all_rules(make_files):
     plan = misconfig.misconfig_findings(make_files(("w.yml", "a: 1")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("times", [1, 500, 501, 3000])
+def test_verdict_does_not_depend_on_size(times):
+    expressions = "".join(f"      - run: echo ${{{{ {k} }}}}\n" for k in range(times))
+    body = f"permissions: write-all\njobs:\n  a:\n    steps:\n{expressions}"
+    assert workflows.parse_workflow("on: push\n" + body) is not None
+    assert workflows.parse_workflow("on:\tpush\n" + body) is None  # a tab cannot part a key from its value
+
+
+def test_aliases_do_not_grow_the_text():
+    levels = "".join(f"l{k}: &l{k} [{', '.join([f'*l{k - 1}'] * 10)}]\n" for k in range(1, 14))
+    bomb = "l0: &l0 [a, main]\n" + levels + "on: push\njobs:\n  a:\n    steps:\n      - uses: *l13\n        with: {path: *l13, key: [x, {y: 1}, null]}\n"
+    step = workflows.parse_workflow(bomb)["jobs"][0]["steps"][0]
+    params = dict(step["with_params"])
+    assert len(params["path"]) < 2000 and "main" in params["path"] and len(step["uses_text"]) < 2000
+    assert params["key"] == str(["x", {"y": 1}, None])
+
+
+def test_very_deep_files_are_skipped():
+    assert workflows.parse_workflow("a: " + "[" * 5000 + "]" * 5000) is None
