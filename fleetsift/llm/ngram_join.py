@@ -17,12 +17,11 @@ all texts of a cluster and no pair is counted twice.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +37,12 @@ TOKENS = 128
 SMALL = 256
 #: Texts in one block of an exact comparison.
 BLOCK = 256
-_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-_TO_SPACE = str.maketrans(dict.fromkeys(_SPACE, " "))
 
 
-class _Codes(dict):
-    """Word -> index into the list of word hashes; emptied when it has grown, which changes no hash."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word.encode()))
-        return code
+#: One random number for each byte, 0 for ASCII white space, and the base of the powers that tell places apart.
+_BYTES = np.random.default_rng(11).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BYTES[[0x20, *range(0x09, 0x0E)]] = 0
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,25 +51,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: Iterator[str | None], n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the word n-grams of each text.  A text of 1 to n-1 words has
-    one shingle, all its words; null or a text without a word has none."""
-    codes = _Codes()
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(text: bytes, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text in order, from all bytes at once, and the table of powers, longer if need be."""
+    places = _BYTES[np.frombuffer(text, np.uint8)]
+    in_word = places != 0
+    starts = np.flatnonzero(in_word[1:] & ~in_word[:-1]) + 1
+    if in_word[:1].any():
+        starts = np.concatenate([[0], starts])
+    if not len(starts):
+        return np.empty(0, np.uint64), powers
+    lengths = np.diff(starts, append=len(places))
+    if lengths.max() > len(powers):
+        powers = _powers(2 * int(lengths.max()))
+    offset = np.arange(starts[0], len(places)) - np.repeat(starts, lengths)
+    return _mixed(np.add.reduceat(places[starts[0]:] * powers[offset], starts - starts[0])), powers
+
+
+def shingle_sets(texts: Iterable[bytes | None], n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text in UTF-8.  A text of 1 to n-1
+    words has one shingle, all its words; null or a text without a word has none."""
+    powers = _powers(64)
     for text in texts:
-        found = [w for w in (text or "").translate(_TO_SPACE).split(" ") if w] if text else []
-        if not found:
-            yield np.empty(0, np.uint64)
+        hashes, powers = word_hashes(text or b"", powers)
+        if not len(hashes):
+            yield hashes
             continue
-        if len(codes) > 400_000:
-            codes = _Codes()
-        index = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
-        distinct, back = np.unique(index, return_inverse=True)
-        hashes = np.array([codes.hashes[i] for i in distinct], np.uint64)[back]
-        width = min(n, len(found))
-        rolled = np.full(len(found) - width + 1, width, np.uint64)
+        width = min(n, len(hashes))
+        rolled = np.full(len(hashes) - width + 1, width, np.uint64)
         for k in range(width):
-            rolled = _mixed(rolled + hashes[k:len(found) - width + 1 + k])
-        yield np.unique(rolled)
+            rolled = rolled * _BASE + hashes[k:len(hashes) - width + 1 + k]
+        rolled = np.sort(_mixed(rolled))
+        yield rolled[np.concatenate([[True], rolled[1:] != rolled[:-1]])]
 
 
 def _sketch(shingles: np.ndarray, multipliers: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -102,7 +110,7 @@ def _sketcher(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, xors, sizes, sketches = [], [], [], []
-            for shingles in shingle_sets((t.as_py() for t in batch.column(2)), n):
+            for shingles in shingle_sets(batch.column(2).to_pylist(), n):
                 sizes.append(len(shingles))
                 sums.append(int(shingles.sum(dtype=np.uint64).astype(np.int64)))
                 xors.append(int(np.bitwise_xor.reduce(_mixed(shingles)).astype(np.int64)) if len(shingles) else 0)
@@ -211,7 +219,7 @@ def _verifier(n: int, numerator: int, denominator: int):
         for group in _groups(batches):
             block, rep = group.column(1).to_numpy(), group.column(2).to_numpy()
             weight = group.column(3).to_numpy()
-            sets = list(shingle_sets((t.as_py() for t in group.column(4)), n))
+            sets = list(shingle_sets(group.column(4).to_pylist(), n))
             size = np.array([len(s) for s in sets])
             shared = _shared_counts(sets)
             linked = shared * denominator >= (size[:, None] + size[None, :] - shared) * numerator
@@ -289,7 +297,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are ignored; an empty table gives no rows.
     """
     value = threshold[0] / threshold[1]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.encode(text_col, "UTF-8").alias("text"))
     sketched = written(rows.mapInArrow(_sketcher(n), "doc_id bigint, text_key bigint, f1 bigint, f2 bigint, n_shingles int, sketch binary"), "sketched")
     same = ["f1", "f2", "n_shingles"]
     # Equal sets are one node with a weight: copies are never compared with each other.
