@@ -258,25 +258,31 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
     # Four standard deviations below the threshold.
     least_equal = int(TOKENS * threshold - 4 * math.sqrt(TOKENS * threshold * (1 - threshold)))
     rows = sketches.select(F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"), "rep", "sketch")
-    members, links = [], []
+    members, pairs, links = [], [], []
+    other = sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
     while True:
         split = written(rows.mapInArrow(_splitter(threshold, factor), "path bigint, rep bigint"), "paths")
         buckets = written(split.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"),
-                                                    F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"))
+                                                    F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"),
+                                                    F.bit_xor(F.xxhash64("rep")).alias("mark"))
                           .where("n > 1 and low < high"), "buckets")
-        # Buckets of two are the same pair in many runs: one of each is enough.
-        members.append(buckets.where("n = 2").select("low", "high").distinct()
-                       .select(F.xxhash64("low", "high").alias("path"), F.explode(F.array("low", "high")).alias("rep")))
-        members.append(split.join(buckets.where(F.col("n").between(3, SMALL)).select("path"), "path").select("path", "rep"))
+        # Texts that share much meet in many buckets: one of those with the same members is enough.
+        pairs.append(buckets.where("n = 2").select("low", "high"))
+        small = buckets.where(F.col("n").between(3, SMALL)).groupBy("n", "low", "high", "mark").agg(F.min("path").alias("path"))
+        members.append(split.join(small.select("path"), "path").select("path", "rep"))
         large = buckets.where(F.col("n") > SMALL).select("path", "pivot")
         if large.isEmpty():
             break
-        pivots = written(large.join(sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"), "pivots")
+        pivots = written(large.join(other, "pivot"), "pivots")
         compared = written(split.join(pivots, "path").where("rep <> pivot").join(sketches, "rep")
                            .select("path", "rep", "sketch", "pivot", "pivot_sketch")
                            .mapInArrow(_near(least_equal), "path bigint, rep bigint, pivot bigint, near boolean"), "compared")
         links.append(compared.where("near").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         rows = compared.where("not near").join(sketches, "rep").select("path", "rep", "sketch")
+    two = reduce(DataFrame.union, pairs).distinct().select(F.lit(0).cast("bigint").alias("path"), F.col("low").alias("rep"), F.col("high").alias("pivot"))
+    links.append(two.join(sketches, "rep").join(other, "pivot").select("path", "rep", "sketch", "pivot", "pivot_sketch")
+                 .mapInArrow(_near(least_equal), "path bigint, rep bigint, pivot bigint, near boolean")
+                 .where("near").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     placed = reduce(DataFrame.union, members).join(sketches, "rep").select("path", "rep", "sketch")
     links.append(placed.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_forest(least_equal), "a bigint, b bigint"))
     return reduce(DataFrame.union, links)
