@@ -6,8 +6,11 @@ of the recursion splits the sets that reach it by tokens drawn with the same ran
 of them, so sets that share much land together; small buckets are compared by brute force, large
 ones split again, and the whole is repeated in independent runs until the chance to miss a pair at
 the threshold falls below `1 - recall`.  In a large bucket one random member is first compared with
-all others, and those near it are linked to it and leave the bucket, so groups of thousands of near
-copies do not split on; the rest is split until no bucket is large.
+all others, and those near it are linked to it and from then on bear one label with it.  Only those
+of its very sketch leave, as all they could meet have been compared with it; the others stay and
+can still meet texts that are not near the member.  Texts of one label need not meet any more, so a
+bucket is done when few of its texts are outside its largest label: these are compared with all, in
+pieces, and groups of thousands of near copies do not split on.
 
 Pairs that meet only say which texts belong to one *cluster*; inside each cluster every pair of
 different n-gram sets is then verified exactly, in blocks, so links and their counts are exact for
@@ -33,7 +36,7 @@ ship_by_value(__name__)
 
 #: Min-hash tokens of a set.
 TOKENS = 128
-#: Buckets up to this size are compared by brute force.
+#: Buckets with up to so many texts outside their largest label are compared by brute force.
 SMALL = 256
 #: Texts in one block of an exact comparison.
 BLOCK = 256
@@ -122,8 +125,8 @@ def _sketcher(n: int):
 
 
 def _splitter(threshold: float, factor: float):
-    """Children of a node, for rows (path, rep, sketch): (path, rep).  A token is drawn with probability
-    factor / (threshold * TOKENS) by a hash of the node's path, alike for all sets that reach it."""
+    """Children of a node, for rows (path, rep, sketch, label): (path, rep, label).  A token is drawn with
+    probability factor / (threshold * TOKENS) by a hash of the node's path, alike for all sets that reach it."""
     cut = np.uint64(int(min(1.0, factor / (threshold * TOKENS)) * ((1 << 64) - 1)))
     places = np.arange(TOKENS, dtype=np.uint64) << np.uint64(16)
 
@@ -131,21 +134,22 @@ def _splitter(threshold: float, factor: float):
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                path, rep = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
+                path, rep, label = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy(), part.column(3).to_numpy()
                 tokens = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, TOKENS).astype(np.uint64)
                 child = _mixed(_mixed(tokens | places) + _mixed(path)[:, None])
                 i, j = np.nonzero(child <= cut)
-                yield pa.record_batch([pa.array(_mixed(child[i, j] + np.uint64(1)).view(np.int64)), pa.array(rep[i])], ["path", "rep"])
+                yield pa.record_batch([pa.array(_mixed(child[i, j] + np.uint64(1)).view(np.int64)), pa.array(rep[i]), pa.array(label[i])], ["path", "rep", "label"])
     return run
 
 
 def _near(least_equal: int):
-    """Adds to (path, rep, sketch, pivot, pivot's sketch) whether the two sketches are near."""
+    """Adds to (path, rep, sketch, pivot, pivot's sketch, label) whether the two sketches are near, and whether they are the same."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, TOKENS) for k in (2, 4))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array((one == two).sum(axis=1) >= least_equal)],
-                                  ["path", "rep", "pivot", "near"])
+            equal = (one == two).sum(axis=1)
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), batch.column(5), pa.array(equal >= least_equal), pa.array(equal == TOKENS)],
+                                  ["path", "rep", "pivot", "label", "near", "same"])
     return run
 
 
@@ -254,34 +258,54 @@ def runs_needed(recall: float, factor: float, levels: int) -> int:
 def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor: float = 1.5) -> DataFrame:
     """(a, b): links between reps (rep long, sketch binary) that connect all texts which met in a bucket
     and whose sketches are near the threshold or above."""
-    runs = runs_needed(recall, factor, 4)
+    # Next to large groups pairs can go down many levels: so many that the chance to die out hardly grows any more.
+    runs = runs_needed(recall, factor, 64)
     # Four standard deviations below the threshold.
     least_equal = int(TOKENS * threshold - 4 * math.sqrt(TOKENS * threshold * (1 - threshold)))
-    rows = sketches.select(F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"), "rep", "sketch")
+    near_type = "path bigint, rep bigint, pivot bigint, label bigint, near boolean, same boolean"
+    # Texts with the same label in a path are connected by the links so far; at first each has its own.
+    rows = sketches.select(F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"), "rep", "sketch", F.col("rep").alias("label"))
     members, pairs, links = [], [], []
     other = sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+    order = F.xxhash64("pivot", "path")
     while True:
-        split = written(rows.mapInArrow(_splitter(threshold, factor), "path bigint, rep bigint"), "paths")
-        buckets = written(split.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"),
-                                                    F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"),
-                                                    F.bit_xor(F.xxhash64("rep")).alias("mark"))
-                          .where("n > 1 and low < high"), "buckets")
+        split = written(rows.mapInArrow(_splitter(threshold, factor), "path bigint, rep bigint, label bigint"), "paths")
+        labels = split.select("path", "label", F.lit(1).cast("bigint").alias("n"), F.col("rep").alias("low"), F.col("rep").alias("high"),
+                              F.col("rep").alias("pivot"), F.xxhash64("rep").alias("mark"))
+        if links:
+            labels = labels.groupBy("path", "label").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+                                                         F.min_by("pivot", order).alias("pivot"), F.bit_xor("mark").alias("mark"))
+        # The pivot is a random text; where that bears the largest label, one of the smallest.
+        buckets = written(labels.groupBy("path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("mark").alias("mark"),
+                                                     F.max(F.struct("n", "label")).alias("top"), F.min_by(F.struct("label", "pivot"), order).alias("drawn"),
+                                                     F.min_by("pivot", F.struct("n", order)).alias("least"))
+                          .where("n > top.n and low < high")
+                          .select("path", "n", "low", "high", "mark", F.col("top.label").alias("top"), F.col("top.n").alias("n_top"),
+                                  F.when(F.col("drawn.label") == F.col("top.label"), F.col("least")).otherwise(F.col("drawn.pivot")).alias("pivot")), "buckets")
         # Texts that share much meet in many buckets: one of those with the same members is enough.
         pairs.append(buckets.where("n = 2").select("low", "high"))
-        small = buckets.where(F.col("n").between(3, SMALL)).groupBy("n", "low", "high", "mark").agg(F.min("path").alias("path"))
-        members.append(split.join(small.select("path"), "path").select("path", "rep"))
-        large = buckets.where(F.col("n") > SMALL).select("path", "pivot")
+        pieces = F.ceil(F.col("n_top") / SMALL)
+        done = (buckets.where((F.col("n") >= 3) & (F.col("n") - F.col("n_top") <= SMALL)).groupBy("n", "low", "high", "mark")
+                .agg(F.min(F.struct("path", "top", pieces.alias("pieces"))).alias("first")).select("first.*"))
+        piece = F.explode(F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("rep"), F.col("pieces"))))
+                          .otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+        members.append(split.join(done, "path").select("path", "rep", "pieces", piece.alias("piece"))
+                       .select(F.when(F.col("pieces") == 1, F.col("path")).otherwise(F.xxhash64("path", "piece")).alias("path"), "rep"))
+        large = buckets.where(F.col("n") - F.col("n_top") > SMALL).select("path", "pivot")
         if large.isEmpty():
             break
         pivots = written(large.join(other, "pivot"), "pivots")
-        compared = written(split.join(pivots, "path").where("rep <> pivot").join(sketches, "rep")
-                           .select("path", "rep", "sketch", "pivot", "pivot_sketch")
-                           .mapInArrow(_near(least_equal), "path bigint, rep bigint, pivot bigint, near boolean"), "compared")
-        links.append(compared.where("near").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        rows = compared.where("not near").join(sketches, "rep").select("path", "rep", "sketch")
+        compared = written(split.join(pivots, "path").join(sketches, "rep")
+                           .select("path", "rep", "sketch", "pivot", "pivot_sketch", "label")
+                           .mapInArrow(_near(least_equal), near_type), "compared")
+        links.append(compared.where("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        # Who is near brings all of its label along.
+        reached = written(compared.where("near").select("path", "label", "pivot").distinct(), "reached")
+        rows = (compared.where("not same").select("path", "rep", "label").join(reached, ["path", "label"], "left").join(sketches, "rep")
+                .select("path", "rep", "sketch", F.coalesce("pivot", "label").alias("label")))
     two = reduce(DataFrame.union, pairs).distinct().select(F.lit(0).cast("bigint").alias("path"), F.col("low").alias("rep"), F.col("high").alias("pivot"))
-    links.append(two.join(sketches, "rep").join(other, "pivot").select("path", "rep", "sketch", "pivot", "pivot_sketch")
-                 .mapInArrow(_near(least_equal), "path bigint, rep bigint, pivot bigint, near boolean")
+    links.append(two.join(sketches, "rep").join(other, "pivot").select("path", "rep", "sketch", "pivot", "pivot_sketch", F.col("rep").alias("label"))
+                 .mapInArrow(_near(least_equal), near_type)
                  .where("near").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     placed = reduce(DataFrame.union, members).join(sketches, "rep").select("path", "rep", "sketch")
     links.append(placed.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_forest(least_equal), "a bigint, b bigint"))

@@ -99,6 +99,27 @@ def test_dense_group_of_near_copies(spark):
     assert {(r.n_links, r.class_id) for r in got} == {(699, 0)}
 
 
+def test_links_beside_a_large_group_of_near_copies(spark):
+    """Chains group - X - Y: X is near the group without a link to it, Y is linked to X and not near the group."""
+    base, rows, chains = [f"t{k}" for k in range(204)], [], 600
+    rng = random.Random(5)
+    for k in range(1000):
+        at = rng.randrange(200)
+        rows.append((k, " ".join(base[:at] + [f"own{k}"] + base[at + 1:])))
+    for k in range(chains):
+        x = base.copy()
+        at = rng.randrange(0, 90)
+        x[at:at + 25] = [f"x{k}-{i}" for i in range(25)]
+        y = x.copy()
+        at = rng.randrange(120, 180)
+        y[at:at + 17] = [f"y{k}-{i}" for i in range(17)]
+        rows += [(10_000 + k, " ".join(x)), (20_000 + k, " ".join(y))]
+    one, two, group = (shingles(dict(rows)[k]) for k in (10_000, 20_000, 0))
+    assert 0.8 <= len(one & two) / len(one | two) < 0.82 and len(one & group) / len(one | group) < 0.77
+    got = {r.doc_id: r for r in jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [k for k in range(chains) if got[20_000 + k].class_id != got[10_000 + k].class_id or not got[20_000 + k].n_links] == []
+
+
 def test_vector_join(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 8))
