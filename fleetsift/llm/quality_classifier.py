@@ -22,8 +22,8 @@ from fleetsift.shipping import ship_by_value
 
 ship_by_value(__name__)
 
-#: Hash buckets; rated texts a model is fitted on; share of them that must hold a bucket for it to count.
-BUCKETS, SAMPLE_ROWS, LEAST_SHARE = 1 << 18, 6_000, 0.004
+#: Hash buckets; rated texts a model is fitted on; texts of them that must hold a bucket for it to count; lengths of word beginnings.
+BUCKETS, SAMPLE_ROWS, LEAST_TEXTS, BEGINNINGS = 1 << 18, 6_000, 3, (4, 5, 6)
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
@@ -43,6 +43,11 @@ def bucket(token: str) -> int:
     return xxhash.xxh32_intdigest(token.encode()) % BUCKETS
 
 
+def buckets(token: str) -> set[int]:
+    """Buckets of a token and of its beginnings, by which rare composed words share weights."""
+    return {bucket(token)} | ({bucket("^" + token[:n]) for n in BEGINNINGS if len(token) >= n} if token.isalpha() else set())
+
+
 class _Table(dict):
     """Token -> value, computed once; emptied when large."""
 
@@ -102,7 +107,7 @@ def fit_ordinal(features: list[list[int]], grades: list[int], top: int, penalty:
     n, grades_ = len(features), np.array(grades)
     row = np.repeat(np.arange(n), [len(f) for f in features])
     names, column, held = np.unique(np.fromiter((b for f in features for b in f), np.int64, len(row)), return_inverse=True, return_counts=True)
-    counts = held >= max(3, LEAST_SHARE * n)
+    counts = held >= LEAST_TEXTS
     for strength in (penalty, penalty / 20):
         use = counts[column]
         place = np.cumsum(counts) - 1
@@ -120,8 +125,9 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buckets_of = _Table(buckets)
     for batch in batches:
-        found = [sorted({bucket(t) for t in tokens(text.as_py() or "")}) for text in batch.column(1)]
+        found = [sorted(set().union(*map(buckets_of.__getitem__, tokens(text.as_py() or "")))) for text in batch.column(1)]
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "features"])
 
 
@@ -159,13 +165,13 @@ def score(docs: DataFrame, model: OrdinalModel | None, level: int, least: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(*shared.value)
-        weight_of = _Table(lambda token: own.weights.get(bucket(token), 0.0))
+        counted = _Table(lambda token: buckets(token) & own.weights.keys())
         for batch in batches:
             scores, empty = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 found = tokens(text.as_py() or "")
                 empty[i] = not found
-                scores[i] = sum(map(weight_of.__getitem__, found))
+                scores[i] = sum(own.weights[b] for b in sorted(set().union(*map(counted.__getitem__, found))))
             tails = own.tails(scores)
             tails[empty] = 0
             expected, tail = tails.sum(axis=1), tails[:, level - 1]

@@ -272,6 +272,23 @@ def test_quality_classifier_held_out(spark):
     assert quality_classifier.score(odd.limit(0), model, 2).count() == 0
 
 
+def test_quality_classifier_rare_composed_words(spark):
+    """A rare language whose toxic texts share only how their words begin; each word is in too few texts to be learned."""
+    rng = random.Random(9)
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrs"]
+    word = lambda start="": start + "".join(rng.choice(syllables) for _ in range(2))
+    common = [word() for _ in range(300)]
+    rows = [(k, " ".join(rng.choices(common, k=60)), 2) for k in range(1_500)]
+    rows += [(2_000 + k, " ".join(rng.choices(common, k=60) + ["scum"]), 1) for k in range(100)]
+    rows += [(3_000 + k, " ".join(word() for _ in range(60)), 2) for k in range(60)]
+    rows += [(4_000 + k, " ".join([word() for _ in range(57)] + [word("zuchten") for _ in range(3)]), 1) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, grade int")
+    model = quality_classifier.train(docs, docs.where("doc_id % 2 = 0").select("doc_id", "grade"))
+    kept = {r.doc_id: r.kept for r in quality_classifier.score(docs.where("doc_id % 2 = 1"), model, 2).collect()}
+    assert sum(not kept[k] for k in range(4_001, 4_030, 2)) > 12
+    assert np.mean([kept[k] for k, _, grade in rows if k % 2 and grade == 2]) > 0.99
+
+
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
