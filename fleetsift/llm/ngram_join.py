@@ -314,12 +314,13 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                  threshold: tuple[int, int] = (4, 5), recall: float = 0.9999) -> DataFrame:
-    """(doc_id, text_key, n_shingles, n_links, class_id, kept): one row per row of `docs`.
+    """(doc_id, text_key, n_shingles, n_links, class_id, kept, class_key): one row per row of `docs`.
 
     Two texts link if the Jaccard similarity of their sets of word `n`-grams is `threshold` (a
     fraction) or more.  `n_links` counts the other rows a row links to, copies included; `class_id`
     is the smallest id that links reach, itself included; `kept` marks the row of that id.
-    `text_key` is a 64-bit hash by which texts are told apart.  Words are parted by ASCII white
+    `class_key` is the smallest key of a text of the class: it tells classes apart where an id
+    stands on several unrelated texts.  `text_key` is a 64-bit hash by which texts are told apart.  Words are parted by ASCII white
     space and compared as they are; a text of fewer than n words is one shingle.  Null texts and
     texts without a word link to nothing and are kept, each its own class.  Rows with a null id link
     as others do; in a class without any id one text is kept and class_id is null.  Rows that repeat
@@ -359,18 +360,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = every.where("n_shingles > 0").join(labelled, same).select(
         "doc_id", "text_key", "n_shingles", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id",
         F.when(F.col("class_id").isNotNull(), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
-        .otherwise(F.col("text_key") == F.col("component")).alias("kept"))
+        .otherwise(F.col("text_key") == F.col("component")).alias("kept"), F.col("component").alias("class_key"))
     alone = every.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(0).cast("bigint").alias("n_links"),
-                                                 F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+                                                 F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.col("text_key").alias("class_key"))
     return linked.union(alone)
 
 
 def one_of_each(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `jaccard_join` keeps, with all their columns, one of each class."""
     picked = (decisions.where("kept and n_shingles > 0")
-              .groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("text_key")).alias("_null_key"))
-              .agg(F.min("text_key").alias("_key"), F.count("*").alias("_times"))
-              .select(F.col("class_id").alias("_id"), "_key", "_times"))
+              .groupBy("class_key").agg(F.min("text_key").alias("_key"), F.min("class_id").alias("_id"), F.count("*").alias("_times"))
+              .select("_id", "_key", "_times"))
     keyed = docs.withColumn("_own_id", F.col(id_col).cast("bigint")).withColumn("_own_key", F.xxhash64(text_col))
     found = keyed.join(picked, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")))
     once = found.where("_times = 1").select(*docs.columns)

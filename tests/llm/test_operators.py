@@ -120,6 +120,16 @@ def test_links_beside_a_large_group_of_near_copies(spark):
     assert [k for k in range(chains) if got[20_000 + k].class_id != got[10_000 + k].class_id or not got[20_000 + k].n_links] == []
 
 
+def test_one_id_on_two_texts(spark):
+    """Each class keeps one text, also where the same id is the lowest of two classes."""
+    one, two = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one + ["more"])), (3, " ".join(two)), (1, " ".join(one)), (None, "alone with no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    joined = jaccard_join(docs)
+    assert {(r.doc_id, r.class_id) for r in joined.collect()} == {(1, 1), (2, 1), (3, 1), (None, None)}
+    assert sorted(r.text for r in one_of_each(docs, joined).collect()) == sorted([rows[0][1], rows[1][1], rows[5][1]])
+
+
 def test_vector_join(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 8))
