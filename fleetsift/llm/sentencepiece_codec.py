@@ -5,6 +5,10 @@ pieces passes once over the text; at each position it follows its output links t
 ends there and relaxes the best score up to that position (a one-pass Viterbi search).  Characters
 that no piece covers become byte pieces, or the unknown piece where the model has no bytes.
 
+On a model of type BPE the scores are merge ranks, not log probabilities: the cut is still the one
+with the largest sum of scores, and its ids are not those that the model's own encoder gives.
+Decoding gives back the text either way.
+
 White space inside pieces only leads them, so a piece never crosses from a character to a following
 space mark: texts fall into words whose best cuts do not depend on each other, and each task keeps
 the cuts of words it has met in a table of bounded size.
