@@ -16,8 +16,8 @@ def test_same_rows(spark, name):
     assert difference is None and mine == theirs > 0
 
 
-def test_ten_operators():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+def test_thirteen_operators():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline(spark, tmp_path):
