@@ -32,7 +32,7 @@ from fleetsift.shipping import ship_by_value
 ship_by_value(__name__)
 
 #: Words of a window; words a task holds at a time; bytes of text hashed at a time.
-LENGTH, HELD_WORDS, HELD_BYTES = 20, 1_500_000, 1 << 21
+LENGTH, HELD_WORDS, HELD_BYTES = 20, 600_000, 1 << 21
 #: Words for which there is one bucket; texts of the sample; share of its texts that make an anchor a common one.
 BUCKET_WORDS, SAMPLE_TEXTS, COMMON = 100_000, 2_000, 0.005
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -224,7 +224,7 @@ def _asker(length: int, common: list[int], buckets: int):
         known = later(found["hash"], found["doc"], found["start"])
         if known.any():
             runs = _runs(*(found[k][known] for k in ("doc", "mark", "start")))
-            spread = pa.array(-1 - (np.arange(runs.num_rows) % buckets))
+            spread = pa.array(-1 - (_mixed(runs.column(0).to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64))
             yield pa.record_batch([spread, pa.nulls(runs.num_rows, pa.binary()), *runs.columns], ["bucket", "body", "doc", "mark", "start", "n"])
         asked = list(_questions(found, ~known, np.array(common, np.int64).view(np.uint64), buckets))
         for low in range(0, len(asked), 1_000):
