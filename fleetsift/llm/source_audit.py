@@ -12,7 +12,7 @@ for them.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,39 +31,37 @@ ship_by_value(__name__)
 LEAST_DOCS, TOP_TERMS, SMOOTHING = 30, 50, 5
 SCALE = 1_000_000_000
 #: Entries of a task's dictionaries before they are handed on, cells of one matrix, and bytes of text looked at at a time.
-ENTRIES, CELLS, HELD_BYTES = 400_000, 1 << 20, 1 << 22
+ENTRIES, CELLS, HELD_BYTES = 700_000, 1 << 17, 1 << 22
+#: Kept digests that are sent to all tasks; more of them, at some 30 bytes each, are joined by shuffles.
+SENT = 1_000_000
 #: ASCII letters and all bytes of other characters in UTF-8.
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 _COUNTS = "lang string, source string, digest bigint, term string, n bigint, docs bigint"
 
 
-def digest_of(term: bytes, bits: int) -> int:
-    """The upper bits of a 64-bit hash, as a signed number."""
-    return (xxhash.xxh64_intdigest(term) >> (64 - bits)) - (1 << (bits - 1))
+#: What a document adds to a term's number besides its occurrences, which fill the lower 40 bits.
+_ONE_DOC = 1 << 40
 
 
 def _counter(bits: int):
     """(lang, source, digest, term, n, docs) for rows (lang, source, text): one row for each group and term in what a task holds at a time."""
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        digests: dict[bytes, int] = {}
-        for (lang, source), (times, docs) in held.items():
-            terms = list(times)
-            for term in terms:
-                if term not in digests:
-                    digests[term] = digest_of(term, bits)
+        for (lang, source), counts in held.items():
+            terms, sums = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            digests = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)).view(np.int64) >> (64 - bits)
             for start in range(0, len(terms), 50_000):
-                part = terms[start:start + 50_000]
-                yield pa.record_batch([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array([digests[t] for t in part], pa.int64()),
-                                       pa.array([t.decode("utf-8", "replace") for t in part]), pa.array([times[t] for t in part], pa.int64()),
-                                       pa.array([docs[t] for t in part], pa.int64())], ["lang", "source", "digest", "term", "n", "docs"])
+                part = slice(start, start + 50_000)
+                n = len(terms[part])
+                yield pa.record_batch([pa.repeat(lang, n), pa.repeat(source, n), pa.array(digests[part]), pa.array(terms[part], pa.binary()).cast(pa.string()),
+                                       pa.array(sums[part] & (_ONE_DOC - 1)), pa.array(sums[part] >> 40)], ["lang", "source", "digest", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict] = {}
         entries = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                times, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before, tail = len(times), 0
+                counts = held.setdefault((lang, source), defaultdict(int))
+                before, tail = len(counts), 0
                 seen: Counter = Counter()
                 while tail < len(text):  # a very long text in pieces that end between terms
                     end = tail + HELD_BYTES
@@ -72,12 +70,11 @@ def _counter(bits: int):
                     seen.update(_TERM.findall(text[tail:end].lower()))  # bytes: A-Z alone change
                     tail = end
                 for term, n in seen.items():
-                    times[term] += n
-                docs.update(seen.keys())
-                entries += len(times) - before
-            if entries > ENTRIES:
-                yield from emit(held)
-                held, entries = {}, 0
+                    counts[term] += n + _ONE_DOC
+                entries += len(counts) - before
+                if entries > ENTRIES:
+                    yield from emit(held)
+                    held, entries = {}, 0
         yield from emit(held)
     return run
 
@@ -124,10 +121,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     empty = F.lit("")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), empty).alias("lang"), F.coalesce(F.col(source_col).cast("string"), empty).alias("source"),
                        F.encode(F.coalesce(F.col(text_col), empty), "UTF-8").alias("text"))
-    counts = written(rows.mapInArrow(_counter(digest_bits), _COUNTS), "terms")
-    frequent = written(counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest"), "frequent")
-    strings = written(counts.join(frequent, ["lang", "digest"], "left_semi").groupBy("lang", "digest")
-                      .agg(F.min("term").alias("low"), F.max("term").alias("high")), "strings")
+    every = written(rows.mapInArrow(_counter(digest_bits), _COUNTS), "terms")
+    frequent = written(every.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest"), "frequent")
+    few = frequent.count() <= SENT
+    counts = written(every.join(F.broadcast(frequent) if few else frequent, ["lang", "digest"], "left_semi"), "counts")
+    strings = written(counts.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "strings")
     kept = strings.where("low = high").select("lang", "digest", F.col("low").alias("term"), F.lit(False).alias("shared"))
     collided = strings.where("low <> high").select("lang", "digest")
     split = not collided.isEmpty()
@@ -137,7 +135,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     vocabulary = written(kept.withColumn("tid", F.monotonically_increasing_id()), "vocabulary")
 
     def held(by: list[str], shared: bool) -> DataFrame:
-        return counts.join(vocabulary.where(F.col("shared") == shared).select(*by, "tid"), by).select("lang", "source", "tid", "n")
+        terms = vocabulary.where(F.col("shared") == shared).select(*by, "tid")
+        return counts.join(F.broadcast(terms) if few and not shared else terms, by).select("lang", "source", "tid", "n")
 
     found = held(["lang", "digest"], False)
     if split:
