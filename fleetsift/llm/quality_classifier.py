@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsift.llm.common import uniform
+from fleetsift.llm.common import uniform, written
 from fleetsift.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -101,17 +101,19 @@ def _adam(row, column, size: int, grades_: np.ndarray, top: int, penalty: float,
     return params[:size], params[size] + np.concatenate([[0], np.cumsum(np.exp(params[size + 1:]))])
 
 
-def fit_ordinal(features: list[list[int]], grades: list[int], top: int, penalty: float = 0.12, steps: int = 400) -> OrdinalModel:
-    """Fits twice: with an L1 penalty of penalty / sqrt(n), about the slope that chance gives a bucket that says
+def fit_ordinal(row: np.ndarray, bucket: np.ndarray, grades: np.ndarray, top: int, penalty: float = 0.12, steps: int = 400) -> OrdinalModel:
+    """A model for texts 0 … with grades, text `row[i]` holding `bucket[i]`.
+
+    Fits twice: with an L1 penalty of penalty / sqrt(n), about the slope that chance gives a bucket that says
     nothing, to find the buckets that count, then those alone almost without a penalty, as it shrinks them."""
-    n, grades_ = len(features), np.array(grades)
-    row = np.repeat(np.arange(n), [len(f) for f in features])
-    names, column, held = np.unique(np.fromiter((b for f in features for b in f), np.int64, len(row)), return_inverse=True, return_counts=True)
+    n = len(grades)
+    names, column, held = np.unique(bucket, return_inverse=True, return_counts=True)
+    column = column.astype(np.int32)
     counts = held >= LEAST_TEXTS
     for strength in (penalty, penalty / 20):
         use = counts[column]
-        place = np.cumsum(counts) - 1
-        w, cuts = _adam(row[use], place[column[use]], int(counts.sum()), grades_, top, strength / np.sqrt(n), steps)
+        place = (np.cumsum(counts) - 1).astype(np.int32)
+        w, cuts = _adam(row[use], place[column[use]], int(counts.sum()), grades, top, strength / np.sqrt(n), steps)
         names_now = names[counts]
         counts = counts.copy()
         counts[counts] = w != 0
@@ -127,24 +129,32 @@ def grades(labels: DataFrame) -> DataFrame:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets_of = _Table(buckets)
     for batch in batches:
-        found = [sorted(set().union(*map(buckets_of.__getitem__, tokens(text.as_py() or "")))) for text in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "features"])
+        found = [sorted(set().union(*map(buckets_of.__getitem__, tokens(text.as_py() or "")))) for text in batch.column(2)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
     """A model from at most `sample_rows` rated texts, drawn by a hash of their ids; None without ratings.
 
-    `ratings` has doc_id and grade (0 and up).  Only hashed features of the sample reach the driver.
+    `ratings` has doc_id and grade (0 and up).  Of a repeated rating the worst counts, of several
+    texts with a drawn id the least one.  Only hashed features of the sample reach the driver, those
+    that LEAST_TEXTS of its texts hold, as flat arrays of numbers.
     """
-    drawn = ratings.where("grade is not null").orderBy(uniform("grade", "doc_id"), "doc_id").limit(sample_rows)
+    drawn = (ratings.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+             .orderBy(uniform("grade", "doc_id"), "doc_id").limit(sample_rows))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     # The drawn ratings are at most sample_rows pairs of numbers.
-    rows = (texts.join(F.broadcast(drawn), "doc_id").select(F.col("grade").cast("int").alias("grade"), "text")
-            .mapInArrow(_hashed, "grade int, features array<int>").collect())
-    if not rows:
+    rated = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"), F.min("text").alias("text"))
+    hashed = written(rated.mapInArrow(_hashed, "doc_id bigint, grade int, features array<int>"), "hashed")
+    held = hashed.select("doc_id", F.explode("features").alias("bucket"))
+    common = held.groupBy("bucket").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS).select("bucket")
+    useful = held.join(common, "bucket").groupBy("doc_id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # as many as there are buckets, at most
+    rows = hashed.select("doc_id", "grade").join(useful, "doc_id", "left").orderBy("doc_id").select("grade", F.coalesce("buckets", F.array().cast("array<int>")).alias("buckets")).toArrow()
+    if not rows.num_rows:
         return None
-    rows = sorted((r["grade"], r["features"]) for r in rows)
-    return fit_ordinal([f for _, f in rows], [g for g, _ in rows], max(1, rows[-1][0]))
+    grade, lists = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    return fit_ordinal(row, lists.flatten().to_numpy(), grade, max(1, int(grade.max())))
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, level: int, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
