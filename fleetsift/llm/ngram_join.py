@@ -6,8 +6,10 @@ of the recursion splits the sets that reach it by tokens drawn with the same ran
 of them, so sets that share much land together; small buckets are compared by brute force, large
 ones split again, and the whole is repeated in independent runs until the chance to miss a pair at
 the threshold falls below `1 - recall`.  In a large bucket one random member is first compared with
-all others, and those near it are linked to it and from then on bear one label with it.  Only those
-of its very sketch leave, as all they could meet have been compared with it; the others stay and
+all others, and those near it are linked to it and from then on bear one label with it.  Those whose
+sketch differs from its sketch in a few tokens only leave: tokens that differ are a distance, so all
+that such a text could be linked with in this bucket are near the member too, if near is drawn wider
+by as many tokens.  The others stay and
 can still meet texts that are not near the member.  Texts of one label need not meet any more, so a
 bucket is done when few of its texts are outside its largest label: these are compared with all, in
 pieces, and groups of thousands of near copies do not split on.
@@ -38,6 +40,8 @@ ship_by_value(__name__)
 TOKENS = 128
 #: Buckets with up to so many texts outside their largest label are compared by brute force.
 SMALL = 256
+#: Tokens in which the sketch of a text that leaves a bucket may differ from the member's.
+CLOSE = 16
 #: Texts in one block of an exact comparison.
 BLOCK = 256
 
@@ -142,14 +146,14 @@ def _splitter(threshold: float, factor: float):
     return run
 
 
-def _near(least_equal: int):
-    """Adds to (path, rep, sketch, pivot, pivot's sketch, label) whether the two sketches are near, and whether they are the same."""
+def _near(least_equal: int, close: int = 0):
+    """Adds to (path, rep, sketch, pivot, pivot's sketch, label) whether the two sketches are near, and whether they differ in `close` tokens at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, TOKENS) for k in (2, 4))
             equal = (one == two).sum(axis=1)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), batch.column(5), pa.array(equal >= least_equal), pa.array(equal == TOKENS)],
-                                  ["path", "rep", "pivot", "label", "near", "same"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), batch.column(5), pa.array(equal >= least_equal), pa.array(equal >= TOKENS - close)],
+                                  ["path", "rep", "pivot", "label", "near", "leaves"])
     return run
 
 
@@ -262,7 +266,7 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
     runs = runs_needed(recall, factor, 64)
     # Four standard deviations below the threshold.
     least_equal = int(TOKENS * threshold - 4 * math.sqrt(TOKENS * threshold * (1 - threshold)))
-    near_type = "path bigint, rep bigint, pivot bigint, label bigint, near boolean, same boolean"
+    near_type = "path bigint, rep bigint, pivot bigint, label bigint, near boolean, leaves boolean"
     # Texts with the same label in a path are connected by the links so far; at first each has its own.
     rows = sketches.select(F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"), "rep", "sketch", F.col("rep").alias("label"))
     members, pairs, links = [], [], []
@@ -297,11 +301,11 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
         pivots = written(large.join(other, "pivot"), "pivots")
         compared = written(split.join(pivots, "path").join(sketches, "rep")
                            .select("path", "rep", "sketch", "pivot", "pivot_sketch", "label")
-                           .mapInArrow(_near(least_equal), near_type), "compared")
+                           .mapInArrow(_near(least_equal - CLOSE, CLOSE), near_type), "compared")
         links.append(compared.where("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         # Who is near brings all of its label along.
         reached = written(compared.where("near").select("path", "label", "pivot").distinct(), "reached")
-        rows = (compared.where("not same").select("path", "rep", "label").join(reached, ["path", "label"], "left").join(sketches, "rep")
+        rows = (compared.where("not leaves").select("path", "rep", "label").join(reached, ["path", "label"], "left").join(sketches, "rep")
                 .select("path", "rep", "sketch", F.coalesce("pivot", "label").alias("label")))
     two = reduce(DataFrame.union, pairs).distinct().select(F.lit(0).cast("bigint").alias("path"), F.col("low").alias("rep"), F.col("high").alias("pivot"))
     links.append(two.join(sketches, "rep").join(other, "pivot").select("path", "rep", "sketch", "pivot", "pivot_sketch", F.col("rep").alias("label"))
@@ -369,11 +373,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `jaccard_join` keeps, with all their columns, one of each class."""
     picked = (decisions.where("kept and n_shingles > 0")
-              .groupBy("class_key").agg(F.min("text_key").alias("_key"), F.min("class_id").alias("_id"), F.count("*").alias("_times"))
-              .select("_id", "_key", "_times"))
-    keyed = docs.withColumn("_own_id", F.col(id_col).cast("bigint")).withColumn("_own_key", F.xxhash64(text_col))
-    found = keyed.join(picked, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")))
-    once = found.where("_times = 1").select(*docs.columns)
-    again = found.where("_times > 1").dropDuplicates(["_own_id", "_own_key"]).select(*docs.columns)
-    wordless = docs.where(F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    return once.union(again).union(wordless)
+              .groupBy("class_key").agg(F.min("text_key").alias("key"), F.min("class_id").alias("id"), F.count("*").alias("times"))
+              .select(F.struct("id", "key", "times").alias("picked")))
+    # The documents' own columns in one struct: no name of theirs can clash.
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    keyed = docs.select(whole.alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("key"))
+    found = keyed.join(picked, keyed["id"].eqNullSafe(F.col("picked.id")) & (keyed["key"] == F.col("picked.key")))
+    once = found.where("picked.times = 1").select("row")
+    again = found.where("picked.times > 1").dropDuplicates(["id", "key"]).select("row")
+    wordless = docs.where(F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))).select(whole.alias("row"))
+    return once.union(again).union(wordless).select("row.*").toDF(*docs.columns)
