@@ -55,5 +55,5 @@ def run_audit(files: DataFrame, scans: DataFrame, out: str, batch: int, *, thres
     stored = tables.read_or_empty(spark, f"{out}/history", FINDING_HISTORY).filter(F.col("batch") < batch)
     tables.append_scans(history.scan_summaries(good, scored), f"{out}/scans", batch)
     tables.append_history(history.history_rows_for_new_scans(scored, good, stored, stored_scans), good, f"{out}/history", batch)
-    sarif.write_documents(sarif.documents(scored, good), f"{out}/sarif/batch={batch}")
+    sarif.write_documents(sarif.document_lines(scored, good), f"{out}/sarif/batch={batch}")
     return report.gate(scans, scored, threshold)

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Unions of inputs that are dealt alike are not taken to be dealt alike: Spark 4.1 then leaves out needed shuffles.
+    "spark.sql.unionOutputPartitioning": "false",
     # Results do not depend on where the job runs.
     "spark.sql.session.timeZone": "UTC",
     # File contents are large: small Arrow batches bound the memory of Python tasks.

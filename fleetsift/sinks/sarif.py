@@ -1,4 +1,8 @@
-"""SARIF 2.1 output: one JSON object per result, and whole documents per scan."""
+"""SARIF 2.1 output: one JSON object per result, and whole documents per scan.
+
+A document is written as lines: a head, one line per rule and per result, a tail.  Lines get their
+places by counting, so a scan of any size is one document and no task holds it whole.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,13 @@ from fleetsift import __version__
 from fleetsift import fixed_values as V
 from fleetsift.functions import severity as sev
 from fleetsift.functions import text
+from fleetsift.functions.spread import numbered
 from fleetsift.operators.report import rule_definitions
+from fleetsift.plans.session import working_directory
 from fleetsift.schemas import FINDING_ORDER
 
-# Results one document holds.  A scan with more gets several documents.
-RESULTS_PER_DOCUMENT = 25_000
+# What stands where in a document.
+HEAD, RULES, MIDDLE, RESULTS, TAIL = range(5)
 
 
 def reference_of() -> Column:
@@ -65,21 +71,56 @@ def _rule_struct() -> Column:
         F.col("help_uri").alias("helpUri"))
 
 
+def document_lines(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fleetsift", tool_version: str = __version__,
+                   information_uri: str = "https://example.com/fleetsift", order: Sequence[str] = FINDING_ORDER) -> DataFrame:
+    """(scan_id, section, line_no, line): the lines of one document for every scan, empty ones included.
+
+    Read in the order of section and line_no, the lines of a scan are its document.  Results and rules
+    stand in risk order.  Rows of any scan are counted and numbered in ranges, so a scan with most
+    of all findings is spread over all tasks.  `scans` brings repo_url and scanned_at.
+    """
+    spark = scored.sparkSession
+    keys = [f"_key{i}" for i in range(len(order) + 1)]
+    sort = [(-F.col("risk_score")).alias(keys[0]), *[F.col(c).alias(k) for c, k in zip(order, keys[1:], strict=True)]]
+    results = numbered(scored.select("scan_id", *sort, F.to_json(result_struct()).alias("json")), ["scan_id"], keys, "line_no", working_directory(spark, "results"))
+    rules = numbered(rule_definitions(scored, order).select("scan_id", "first_seen", F.to_json(_rule_struct()).alias("json")), ["scan_id"], ["first_seen"],
+                     "line_no", working_directory(spark, "rules"))
+
+    def listed(rows: DataFrame, section: int) -> DataFrame:
+        comma = F.when(F.col("line_no") > 1, ",").otherwise("")
+        return rows.select("scan_id", F.lit(section).alias("section"), "line_no", F.concat(comma, "json").alias("line"))
+
+    totals = results.groupBy("scan_id").agg(F.max("line_no").alias("total"))
+    ends = scans.select("scan_id", "repo_url", "scanned_at").join(totals, "scan_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    # Whole JSON texts of the parts around the lists, cut where the lists stand.
+    tool = F.to_json(F.struct(F.lit(tool_name).alias("name"), F.lit(tool_version).alias("version"), F.lit(information_uri).alias("informationUri")))
+    start = F.to_json(F.struct(F.lit(V.SARIF_SCHEMA).alias("$schema"), F.lit(V.SARIF_VERSION).alias("version")))
+    open_object = lambda text: F.substring(text, 1, F.length(text) - 1)
+    roots = F.to_json(F.struct(F.struct(source_root(F.col("repo_url")).alias("uri")).alias("%SRCROOT%")))
+    properties = F.to_json(F.struct(F.date_format("scanned_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("scannedAt"),
+                                    F.col("repo_url").alias("repoUrl"), F.col("total").alias("totalFindings")))
+    pieces = F.array(
+        F.struct(F.lit(HEAD).alias("section"), F.concat(open_object(start), F.lit(',"runs":[{"tool":{"driver":'), open_object(tool), F.lit(',"rules":[')).alias("line")),
+        F.struct(F.lit(MIDDLE).alias("section"), F.concat(F.lit(']}},"originalUriBaseIds":'), roots, F.lit(',"results":[')).alias("line")),
+        F.struct(F.lit(TAIL).alias("section"), F.concat(F.lit('],"properties":'), properties, F.lit("}]}")).alias("line")))
+    framed = ends.select("scan_id", F.inline(pieces)).select("scan_id", "section", F.lit(1).cast("bigint").alias("line_no"), "line")
+    return framed.union(listed(rules, RULES)).union(listed(results, RESULTS))
+
+
 def documents(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fleetsift", tool_version: str = __version__,
               information_uri: str = "https://example.com/fleetsift", order: Sequence[str] = FINDING_ORDER,
-              results_per_document: int = RESULTS_PER_DOCUMENT) -> DataFrame:
-    """(scan_id, part, parts, document) for every scan, empty ones included.
+              results_per_document: int | None = None) -> DataFrame:
+    """(scan_id, part, parts, document) for every scan, empty ones included: each document as one text, for scans that fit in a row.
 
-    A scan with up to `results_per_document` findings is one document.  A
-    larger one is split by a hash of the finding into documents that each stand
-    alone, so no task ever collects a whole large scan.  `scans` brings
-    repo_url and scanned_at.
+    With `results_per_document` a scan with more findings is split by a hash of the finding into
+    documents that each stand alone.  `document_lines` has no such bounds.  `scans` brings repo_url
+    and scanned_at.
     """
     totals = scored.groupBy("scan_id").agg(F.count(F.lit(1)).alias("total"))
     wanted = (scans.select("scan_id", "repo_url", "scanned_at").join(totals, "scan_id", "left")
               .withColumn("total", F.coalesce("total", F.lit(0)))
               # Hashed parts are not exactly equal; half-full parts leave room.
-              .withColumn("parts", F.when(F.col("total") <= results_per_document, F.lit(1))
+              .withColumn("parts", F.lit(1) if results_per_document is None else F.when(F.col("total") <= results_per_document, F.lit(1))
                           .otherwise(F.ceil(F.col("total") / (results_per_document / 2))).cast("int")))
     part = F.pmod(F.xxhash64("rule_id", *order, "description"), F.col("parts")).cast("int")
     placed = (scored.drop("repo_url", "scanned_at").join(wanted.select("scan_id", "parts"), "scan_id")
@@ -111,13 +152,14 @@ def documents(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fleetsif
     return joined.select("scan_id", "part", "parts", document.alias("document"))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """One text line per document, in a directory per scan range, so directory counts stay bounded.
+def write_documents(lines: DataFrame, path: str) -> None:
+    """Text files in a directory per scan range, so directory counts stay bounded; in order of their names they hold one document after the other.
 
     Spread by range first: a task writes neighbouring scans, so to few
-    directories, and the documents of a very large scan come from many tasks.
+    directories, and the lines of a very large scan come from many tasks.
     """
-    (docs.repartitionByRange("scan_id", "part")
-     .withColumn("scan_range", F.floor(F.col("scan_id") / 10_000))
-     .select("scan_range", F.col("document").alias("value"))
+    # Sorted by the directory first: the writer would sort by it anew otherwise, and mix up lines.
+    (lines.withColumn("scan_range", F.floor(F.col("scan_id") / 10_000)).repartitionByRange("scan_id", "section", "line_no")
+     .sortWithinPartitions("scan_range", "scan_id", "section", "line_no")
+     .select("scan_range", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("scan_range").text(path))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fleetsift.functions import spread
 from fleetsift.operators import history, report, scoring
 from fleetsift.schemas import FINDINGS, conform
 from fleetsift.sinks import sarif
@@ -54,16 +55,16 @@ def test_one_scan_at_a_time_gives_the_same_history(spark):
     assert {"new", "persisting", "fixed"} <= {s[3] for s in whole}
 
 
-@pytest.mark.parametrize("id_range", [1, 3, 100, 100_000])
-def test_previous_scan_in_any_range(spark, id_range):
+@pytest.mark.parametrize("ranges, widest", [(1, 2000), (3, 2000), (64, 2000), (64, 1 << 62), (200, 1 << 62)])
+def test_previous_scan_in_any_range(spark, ranges, widest):
     rng = random.Random(3)
     # One repository has most scans.
-    rows = [(i, "hot" if rng.random() < 0.7 else f"r{rng.randrange(4)}") for i in rng.sample(range(1, 2000), 300)]
+    rows = [(i, "hot" if rng.random() < 0.7 else f"r{rng.randrange(4)}") for i in rng.sample(range(1, widest), 300)]
     last, expected = {}, set()
     for scan_id, repo in sorted(rows):
         expected.add((repo, scan_id, last.get(repo)))
         last[repo] = scan_id
-    got = {(r.repo_url, r.scan_id, r.prev_scan_id) for r in history.previous_scans(scans_of(spark, *rows), id_range).collect()}
+    got = {(r.repo_url, r.scan_id, r.prev_scan_id) for r in history.previous_scans(scans_of(spark, *rows), ranges).collect()}
     assert got == expected
 
 
@@ -76,6 +77,68 @@ def test_no_window_over_a_whole_repository_or_scan(spark):
     assert "WindowGroupLimit" in top and "Partial" in top
 
 
+@pytest.mark.parametrize("share", [0.0, 0.9])
+def test_a_heavy_key_is_joined_in_pieces(spark, share):
+    tasks, n = 16, 40_000
+    rows = spark.range(n).select(F.when(F.col("id") < share * n, 0).otherwise(F.col("id") % 3_000).alias("k"), F.col("id").alias("v"))
+    lookup = spark.range(3_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spread.join_spread(rows, lookup, ["k"])
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id().alias("task")).count().collect())
+        assert joined.columns == ["k", "v", "w"] and joined.count() == n and joined.filter("w <> 2 * k").count() == 0
+        assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_heavy_keys_of_nothing(spark):
+    none = spark.range(0).selectExpr("id k")
+    assert spread.heavy_keys(none, ["k"], 8) == {} and spread.quantile_boundaries(none, "k") == []
+
+
+def test_places_in_groups_counted_in_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.9 else f"g{rng.randrange(5)}", rng.randrange(50), k) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, a int, b int")
+    want = {}
+    for g, a, b in sorted(rows):
+        want[g, a, b] = sum(1 for k in want if k[0] == g) + 1
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = spread.numbered(df, ["g"], ["a", "b"], "place", str(tmp_path / "n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {(r.g, r.a, r.b): r.place for r in got} == want
+
+
+def test_one_document_for_a_scan_with_most_results(spark, tmp_path):
+    import json
+    rows = [(1, f"R{n % 7}", "a\\b", n) for n in range(26_000)] + [(2, "R1", 'q"uote', 3)]
+    scored = scoring.score_findings(findings_of(spark, *rows))
+    scans = scans_of(spark, (1, "r"), (2, "s"), (3, "none"))
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        sarif.write_documents(sarif.document_lines(scored, scans), str(tmp_path / "sarif"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    text = "".join(path.read_text() for path in sorted((tmp_path / "sarif" / "scan_range=0").glob("part-*")))
+    found, at = [], 0
+    while at < len(text.rstrip()):
+        document, at = json.JSONDecoder().raw_decode(text, at)
+        at += 1
+        found.append(document["runs"][0])
+    assert [(d["properties"]["repoUrl"], len(d["results"]), d["properties"]["totalFindings"]) for d in found] == [("r", 26_000, 26_000), ("s", 1, 1), ("none", 0, 0)]
+    assert [r["id"] for r in found[0]["tool"]["driver"]["rules"]] == [f"R{k}" for k in range(7)]
+    assert [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in found[0]["results"]] == [1, *range(1, 26_000)]
+
+
 def test_hot_key_and_partition_invariance(spark):
     rng = random.Random(5)
     rows = [(1, "HOT", "f", n) for n in range(600)] + [(rng.randrange(1, 6), f"R{rng.randrange(9)}", f"f{rng.randrange(5)}", n) for n in range(1200)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fleetsift.operators import ingest
 from fleetsift.operators.scoring import score_findings
 from fleetsift.plans.audit import run_audit, scan_files
+from fleetsift.schemas import SCORED_FINDINGS, conform
 from fleetsift.sinks import tables
 from fleetsift.streaming import continuous, logs, runs
 
@@ -43,6 +44,31 @@ def test_stream_of_files_equals_batch_and_history_closes(spark, tmp_path):
     assert spark.read.parquet(out.history).count() == 5 and spark.read.parquet(out.scans).count() == 2
 
 
+def test_late_findings_change_their_scan_and_the_next(spark, tmp_path):
+    source, out = str(tmp_path / "in"), continuous.AuditTables(str(tmp_path / "out"))
+    scans = spark.createDataFrame([(1, "r"), (2, "r"), (3, "r"), (9, "s")], "scan_id bigint, repo_url string").withColumn("scanned_at", F.lit("2024-05-01").cast("timestamp"))
+    # Scan 3 is finished before scan 2; scan 1 gets a file when all are closed; then scan 3 does.
+    batches = [([(1, "a.py"), (3, "a.py"), (9, "x.py")], "scan_id <> 2"), ([(2, "b.py")], "true"), ([(1, "b.py")], "true"), ([(3, "b.py")], "true")]
+    reasons = []
+    for k, (rows, done) in enumerate(batches):
+        scored = conform(spark.createDataFrame(rows, "scan_id bigint, file_path string").withColumn("rule_id", F.lit("A")), SCORED_FINDINGS)
+        scored.write.mode("append").parquet(source)
+        continuous.continuous_history(spark.readStream.schema(scored.schema).parquet(source), out, str(tmp_path / "checkpoint"), lambda done=done: scans.filter(done))
+        reasons.append({(r.scan_id, r.reason) for r in spark.read.parquet(out.closings).filter(F.col("batch") == k).collect()})
+    assert reasons == [{(1, "finished"), (3, "finished"), (9, "finished")}, {(2, "finished"), (3, "follows")}, {(1, "late"), (2, "follows")}, {(3, "late")}]
+    got = sorted((r.scan_id, r.file_path, r.status) for r in continuous.current_history(spark, out).collect())
+    assert got == [(1, "a.py", "new"), (1, "b.py", "new"), (2, "a.py", "fixed"), (2, "b.py", "persisting"), (3, "a.py", "new"), (3, "b.py", "persisting"), (9, "x.py", "new")]
+    assert sorted((r.scan_id, r.total_count) for r in continuous.current_scans(spark, out).collect()) == [(1, 2), (2, 1), (3, 2), (9, 1)]
+    # A batch run again leaves the same tables.
+    continuous.close_scans(spark, out, scans, 3)
+    assert sorted((r.scan_id, r.file_path, r.status) for r in continuous.current_history(spark, out).collect()) == got
+    # Directories of other scans are not read.
+    wanted = spark.createDataFrame([(9,)], "scan_id bigint")
+    rows = tables.read_scans(spark, out.findings, SCORED_FINDINGS, wanted)
+    assert [r.file_path for r in rows.collect()] == ["x.py"]
+    assert "PartitionFilters: [bucket" in rows._jdf.queryExecution().executedPlan().toString().replace("isnotnull(bucket", "bucket")
+
+
 def test_lines_are_delivered_once_and_in_order(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "lines")
     schema = "scan_id bigint, ts timestamp, line_no bigint, line string"
@@ -82,7 +108,7 @@ def test_whole_audit_writes_all_tables(spark, tmp_path):
     assert again == {1: 0, 2: 0, 3: 2}
     assert spark.read.parquet(f"{out}/scans").count() == 2
     assert {r.status for r in spark.read.parquet(f"{out}/history").collect()} == {"new"}
-    assert spark.read.text(f"{out}/sarif/batch=1").count() == 2
+    assert spark.read.text(f"{out}/sarif/batch=1").filter("value like '{%schema%'").count() == 2
     # The next scan of the same repository, without the secret.
     later = spark.createDataFrame([(4, "r", None)], "scan_id bigint, repo_url string, error string").withColumn("scanned_at", F.lit("2024-05-02").cast("timestamp"))
     run_audit(files_of(spark, [("r", 4, "w.yml", WORKFLOW)]), later, out, 2)

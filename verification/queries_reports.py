@@ -188,7 +188,7 @@ def _(t):
 
 @query("j01_previous_scans", "select repo_url, scan_id, prev_scan_id from links")
 def _(t):
-    return history.previous_scans(_scans(t), id_range=1000)
+    return history.previous_scans(_scans(t), ranges=16)
 
 
 @query("s09_previous_keys", "select scan_id, rule_id || '|' || file_path as key from before_keys")
@@ -391,6 +391,21 @@ def _(t):
     return sarif.documents(_scored(t), _scans(t), order=_ORDER)
 
 
+@query("k02_sarif_document_lines", f"""
+with listed as (select *, row_number() over (partition by scan_id, rule_id order by {_RISK_ORDER_SQL}) as rn from scored),
+bodies as (select scan_id, count(*) as n, string_agg({_RESULT_SQL}, ',' order by {_RISK_ORDER_SQL}) as results,
+  string_agg(case when rn = 1 then {_RULE_SQL} end, ',' order by {_RISK_ORDER_SQL}) as rules from listed group by scan_id)
+select s.scan_id, concat('{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"fleetsift","version":"0.1.0",',
+ '"informationUri":"https://example.com/fleetsift","rules":[', coalesce(rules, ''), ']}}}},"originalUriBaseIds":{{"%SRCROOT%":{{"uri":"', s.repo_url, '/blob/HEAD/"}}}},"results":[', coalesce(results, ''),
+ '],"properties":{{"scannedAt":"', strftime(s.scanned_at, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","repoUrl":"', s.repo_url, '","totalFindings":', cast(coalesce(n, 0) as varchar), '}}}}]}}') as document
+from b_scans s left join bodies b using (scan_id)""")
+def _(t):
+    # The lines of a scan, put together again: what a reader of the files does.
+    lines = sarif.document_lines(_scored(t), _scans(t), order=_ORDER)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("section", "line_no", "line"))), lambda x: x["line"])
+    return lines.groupBy("scan_id").agg(F.array_join(parts, "").alias("document"))
+
+
 @query("k02_sarif_split_documents", """
 select scan_id % 40 as scan_id, count(*) as results, count(*) as total from scored group by 1""")
 def _(t):
@@ -506,3 +521,39 @@ def _(t):
     exits = t.table("events").select(F.col("user_id").alias("scan_id")).distinct().filter("scan_id % 7 <> 0").withColumn("exit_code", (F.col("scan_id") % 4).cast("int"))
     newest = report.newest_reports(t.view("b_reports").selectExpr("report_scan as scan_id", "ext", "path", "scanned_at as mtime"))
     return logs.status_snapshots(stats, exits, newest.filter("ext = 'html'").select("scan_id", F.col("path").alias("report")))
+
+
+@query("t05_late_findings", """
+select f.scan_id, f.file_path, f.line_number, f.finding_type, f.rule_id, f.severity, f.risk_score,
+ case when b.scan_id is null then 'new' else 'persisting' end as status
+from scored f left join before_keys b on f.scan_id = b.scan_id and f.rule_id = b.rule_id and f.file_path = b.file_path
+union all select scan_id, file_path, null, null, rule_id, null, null, 'fixed' from (select * from before_keys except select * from now_keys)""")
+def _(t):
+    # Three micro-batches: most findings of even scans, those of odd ones, and what comes late for either.
+    # Even scans are finished first, so each odd one comes between two that are closed.
+    base = working_directory(t.spark, "late")
+    scored, scans = _scored(t), _scans(t).select("scan_id", "repo_url", "scanned_at")
+    scored = scored.withColumn("arrives", F.when(F.pmod(F.xxhash64("item_index", "rule_id"), F.lit(5)) == 0, 2).otherwise(F.pmod("scan_id", F.lit(2))).cast("int"))
+    scored.write.partitionBy("arrives").parquet(f"{base}/findings")
+    finished = [scans.filter("scan_id % 2 = 0"), scans, scans]
+    tables_ = continuous.AuditTables(f"{base}/out")
+    stored = t.spark.read.parquet(f"{base}/findings")
+    for batch, done in enumerate(finished):
+        stored.filter(F.col("arrives") == batch).drop("arrives").write.mode("append").parquet(f"{base}/stream")
+        stream = t.spark.readStream.schema(stored.drop("arrives").schema).parquet(f"{base}/stream")
+        continuous.continuous_history(stream, tables_, f"{base}/checkpoint", lambda done=done: done)
+    return continuous.current_history(t.spark, tables_).drop("description", "fix_snippet")
+
+
+@query("t05_late_summaries", """
+select scan_id, repo_url, strftime(scanned_at, '%Y-%m-%d') as scanned, coalesce(total_count, 0) as total_count, coalesce(critical, 0) as critical
+from (select scan_id, repo_url, scanned_at from b_scans) s left join (select scan_id, count(*) as total_count, count(*) filter (where severity = 'CRITICAL') as critical from scored group by 1) c using (scan_id)""")
+def _(t):
+    base = working_directory(t.spark, "summaries")
+    scored, scans = _scored(t), _scans(t).select("scan_id", "repo_url", "scanned_at")
+    tables_ = continuous.AuditTables(f"{base}/out")
+    for batch, part in enumerate(("line_number % 3 > 0", "line_number % 3 = 0 or line_number is null")):
+        scored.filter(part).write.mode("append").parquet(f"{base}/stream")
+        stream = t.spark.readStream.schema(scored.schema).parquet(f"{base}/stream")
+        continuous.continuous_history(stream, tables_, f"{base}/checkpoint", lambda: scans)
+    return continuous.current_scans(t.spark, tables_).select("scan_id", "repo_url", F.date_format("scanned_at", "yyyy-MM-dd").alias("scanned"), "total_count", "critical")
