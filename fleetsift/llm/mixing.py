@@ -82,7 +82,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the same for all of a cell, and `kept` whether the hash of its id falls below it.  Tokens are
     words; null and wordless texts have none, so they count for nothing and follow their cell
     (probability 0 if the whole cell is without words).  Null sources, languages and ids are values
-    of their own.  Rows that repeat an id are kept or left together.  `targets` maps margins to
+    of their own.  Rows that repeat an id share one draw: those of one cell are kept or left together, and
+    of those in different cells one with a smaller chance is kept only where the others are.  `targets` maps margins to
     (value, target) tables; by default they are smoothed shares.  An empty table gives no rows;
     other columns are ignored.
     """

@@ -24,14 +24,14 @@ SYMBOLS = r"[#*$%&|<>]+"
 CAPITALS = "[A-ZÀ-ÖØ-Þ]+"
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals and base_failed.
+#: What a text is measured by.
+MEASURED = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words"]
 
-    Null and wordless texts measure 0 everywhere and fail the base rule.  Windows of five words are
-    told apart by a 64-bit hash.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_text", text).withColumn("_words", words("_text"))
+
+def _measured(docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of `docs` as one struct `row`, whatever their names, and beside it MEASURED and base_failed."""
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    out = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_words", words("_text"))
     out = out.withColumn("n_words", F.size("_words").cast("bigint"))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashes = F.transform("_words", lambda w: F.xxhash64(w))
@@ -51,10 +51,22 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
            .withColumn("n_lines", F.size("_lines").cast("bigint"))
            .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    found = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words"]
     # One row each, through a generator: filters on the results then stay above it.  Pushed below, they would
     # put whole projections into the functions of others and measure a text anew for each of its words.
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*[F.col(c) for c in found], failed.alias("base_failed")))))
+    return out.select("row", F.inline(F.array(F.struct(*[F.col(c) for c in MEASURED], failed.alias("base_failed")))))
+
+
+def _opened(out: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    return out.select("row.*", *added).toDF(*docs.columns, *added)
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_capitals, n_lines, n_dup_lines, n_repeat_words and base_failed, behind the columns of `docs`.
+
+    Null and wordless texts measure 0 everywhere and fail the base rule.  Windows of five words are
+    told apart by a 64-bit hash.
+    """
+    return _opened(_measured(docs, text_col), docs, *MEASURED, "base_failed")
 
 
 def measures() -> dict[str, Column]:
@@ -169,6 +181,8 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """Adds the measures, `rule` (the rule that rejects the text) and `kept`: neither the base rule nor a learned one rejects it.
 
-    One row per row of `docs`; null ids, repeated rows and empty tables are as any other.
+    One row per row of `docs`; null ids, repeated rows and empty tables are as any other.  What is
+    added stands behind the columns of `docs`, which stay as they are, also those of the same names.
     """
-    return measured(docs, text_col).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    out = _measured(docs, text_col).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return _opened(out, docs, *MEASURED, "base_failed", "rule", "kept")

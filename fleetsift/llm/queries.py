@@ -96,15 +96,15 @@ r0 as materialized (select cells.*, tokens / sum(tokens) over () w, t_source, t_
   from cells join a_source using (source) join a_lang using (lang) join a_topic using (topic)),
 {", ".join(steps)},
 p as materialized (select source, lang, topic, w weight, (w / tokens) / max(w / tokens) over () probability from {last})
-select doc_id, source, lang, topic, tokens::bigint tokens, round(weight, 6) weight, round(probability, 6) probability,
+select doc_id, source, lang, topic, tokens::bigint tokens, round(weight, 4) weight, round(probability, 4) probability,
   ('0x' || substr(md5('mix|' || doc_id), 1, 13))::bigint / pow(16.0, 13) < probability kept
 from d join p using (source, lang, topic)"""
 
 
-@query("op7_mixing", _mix_sql(12))
+@query("op7_mixing", _mix_sql(20))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
+    return mixed.withColumn("weight", F.round("weight", 4)).withColumn("probability", F.round("probability", 4))
 
 
 URL_RULES = [("org/", "org", "/", "allow"), ("example.org/es/", "example.org", "/es/", "block"), ("example.org/en/1", "example.org", "/en/1", "block"),

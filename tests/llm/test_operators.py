@@ -193,6 +193,16 @@ RULES = [("org/", "org", "/", "allow"), ("example.org/es/", "example.org", "/es/
          ("com/fr/", "com", "/fr/", "allow"), ("Shop.COM", "Shop.COM", "", "block"), (None, "net", "/", "block")]
 
 
+def test_an_id_in_two_cells_has_one_draw(spark):
+    rows = [(k % 200, "one two three", "ab"[k // 200], "en") for k in range(400)] + [(900 + k, "one two three", "b", "en") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    chance, kept = {}, {}
+    for r in mix(docs).collect():
+        chance[r.doc_id, r.source], kept[r.doc_id, r.source] = r.probability, r.kept
+    twice = [(kept[k, "a"], kept[k, "b"]) for k in range(200)]
+    assert chance[0, "a"] > chance[0, "b"] and all(a or not b for a, b in twice) and any(a != b for a, b in twice)
+
+
 def test_urls(spark):
     rng = random.Random(2)
     urls = [None, "", "no scheme", "x://", "http://ORG", "http://a.org/", "https://example.org/es/abc?x://y", "http://notexample.org/es/", "http://www.example.org/es/b#c",
@@ -255,6 +265,15 @@ def test_quality_measures(spark, docs):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def test_quality_rules_keep_the_callers_columns(spark):
+    rows = [(1, "keep", "r", "a b c d e f g h i j k l", True, "w"), (2, "me", None, None, False, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_lines string, rule string, text string, kept boolean, _words string")
+    judged = quality_rules.judge(df, [])
+    assert judged.columns == [*df.columns, *quality_rules.MEASURED, "base_failed", "rule", "kept"]
+    got = sorted(map(tuple, judged.collect()))
+    assert [r[:6] for r in got] == rows and [r[6] for r in got] == [12, 0] and [r[-1] for r in got] == [True, False]
+
+
 def test_quality_rules_learn_thresholds(spark):
     rng = random.Random(4)
     plain = lambda k: " ".join(f"word{rng.randrange(900)}" for _ in range(30 + k % 9))
