@@ -31,7 +31,7 @@ ship_by_value(__name__)
 LEAST_DOCS, TOP_TERMS, SMOOTHING = 30, 50, 5
 SCALE = 1_000_000_000
 #: Entries of a task's dictionaries before they are handed on, cells of one matrix, and bytes of text looked at at a time.
-ENTRIES, CELLS, HELD_BYTES = 700_000, 1 << 17, 1 << 22
+ENTRIES, CELLS, HELD_BYTES = 1_200_000, 1 << 17, 1 << 22
 #: Kept digests that are sent to all tasks; more of them, at some 30 bytes each, are joined by shuffles.
 SENT = 1_000_000
 #: ASCII letters and all bytes of other characters in UTF-8.
