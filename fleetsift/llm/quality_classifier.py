@@ -108,11 +108,10 @@ def fit_ordinal(row: np.ndarray, bucket: np.ndarray, grades: np.ndarray, top: in
     nothing, to find the buckets that count, then those alone almost without a penalty, as it shrinks them."""
     n = len(grades)
     names, column, held = np.unique(bucket, return_inverse=True, return_counts=True)
-    column = column.astype(np.int32)
     counts = held >= LEAST_TEXTS
     for strength in (penalty, penalty / 20):
         use = counts[column]
-        place = (np.cumsum(counts) - 1).astype(np.int32)
+        place = np.cumsum(counts) - 1
         w, cuts = _adam(row[use], place[column[use]], int(counts.sum()), grades, top, strength / np.sqrt(n), steps)
         names_now = names[counts]
         counts = counts.copy()
@@ -153,7 +152,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, i
     if not rows.num_rows:
         return None
     grade, lists = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
-    row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(grade)), np.diff(lists.offsets.to_numpy()))  # of the type bincount takes without a copy
     return fit_ordinal(row, lists.flatten().to_numpy(), grade, max(1, int(grade.max())))
 
 
