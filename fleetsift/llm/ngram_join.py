@@ -104,9 +104,9 @@ def _sketch(shingles: np.ndarray, multipliers: np.ndarray, masks: np.ndarray) ->
         part = low[start:start + 4096, None] ^ masks
         part *= multipliers
         np.minimum(out, part.min(axis=0), out=out)
-    # Smallest values lie near 0: they are hashed again before 16 bits are kept, or few values would be left.
+    # Smallest values lie near 0: they are hashed again.  All 32 bits stay: with 16, unlike texts would soon share buckets by chance.
     out = (out ^ (out >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    return (out >> np.uint32(16)).astype("<u2")
+    return (out ^ (out >> np.uint32(16))).astype("<u4")
 
 
 def _sketcher(n: int):
@@ -132,14 +132,14 @@ def _splitter(threshold: float, factor: float):
     """Children of a node, for rows (path, rep, sketch, label): (path, rep, label).  A token is drawn with
     probability factor / (threshold * TOKENS) by a hash of the node's path, alike for all sets that reach it."""
     cut = np.uint64(int(min(1.0, factor / (threshold * TOKENS)) * ((1 << 64) - 1)))
-    places = np.arange(TOKENS, dtype=np.uint64) << np.uint64(16)
+    places = np.arange(TOKENS, dtype=np.uint64) << np.uint64(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 path, rep, label = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy(), part.column(3).to_numpy()
-                tokens = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, TOKENS).astype(np.uint64)
+                tokens = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").reshape(-1, TOKENS).astype(np.uint64)
                 child = _mixed(_mixed(tokens | places) + _mixed(path)[:, None])
                 i, j = np.nonzero(child <= cut)
                 yield pa.record_batch([pa.array(_mixed(child[i, j] + np.uint64(1)).view(np.int64)), pa.array(rep[i]), pa.array(label[i])], ["path", "rep", "label"])
@@ -150,7 +150,7 @@ def _near(least_equal: int, close: int = 0):
     """Adds to (path, rep, sketch, pivot, pivot's sketch, label) whether the two sketches are near, and whether they differ in `close` tokens at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, TOKENS) for k in (2, 4))
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, TOKENS) for k in (2, 4))
             equal = (one == two).sum(axis=1)
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), batch.column(5), pa.array(equal >= least_equal), pa.array(equal >= TOKENS - close)],
                                   ["path", "rep", "pivot", "label", "near", "leaves"])
@@ -184,7 +184,7 @@ def _forest(least_equal: int):
             rep = group.column(1).to_numpy()
             if len(rep) < 2:
                 continue
-            sketch = np.frombuffer(b"".join(group.column(2).to_pylist()), "<u2").reshape(-1, TOKENS)
+            sketch = np.frombuffer(b"".join(group.column(2).to_pylist()), "<u4").reshape(-1, TOKENS)
             waiting = np.arange(len(rep))
             while len(waiting) > 1:
                 front, waiting = waiting[:1], waiting[1:]
