@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under spark.checkpoint.dir.  Only a local session may go without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark, "_llm_folder", None) or tempfile.mkdtemp(prefix="fleetsift-llm-")
         spark._llm_folder = base
@@ -41,6 +42,43 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a key filter for each wanted key, rounded up to a power of two; at most MOST_BITS (32 MB) in all.
+BITS_FOR_KEY, MOST_BITS, BITS_IN_MAP = 8, 1 << 28, 1 << 15
+
+
+class KeyFilter:
+    """A bitmap of the wanted keys' hashes, in a table of at most 32 MB, for joins that few rows survive.
+
+    `mark` adds a column that is true for every row with a wanted key and for a few others, without
+    shuffling the rows.  It only spares the join that follows some rows: where there are more wanted
+    keys than the bitmap has room for, more rows pass, and the answer is the same.  Null keys hash
+    like any value.
+    """
+
+    def __init__(self, wanted: DataFrame, *keys: str):
+        n = max(1, wanted.count())
+        self.bits = min(MOST_BITS, max(BITS_IN_MAP, 1 << (BITS_FOR_KEY * n - 1).bit_length()))
+        places = wanted.select(self._place(keys).alias("place"))
+        maps = (places.select(F.expr(f"place div {BITS_IN_MAP}").alias("_map"), F.pmod("place", F.lit(BITS_IN_MAP)).alias("bit"))
+                .repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("bit").alias("_bits")))
+        self.maps = written(maps, "key-filter")
+
+    def _place(self, keys) -> Column:
+        return F.pmod(F.xxhash64(F.lit("filter"), *keys), F.lit(self.bits))
+
+    def mark(self, rows: DataFrame, *keys: str, name: str = "_hit") -> DataFrame:
+        place = self._place(keys)
+        byte = F.conv(F.hex(F.substr("_bits", F.expr("cast(_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+        set_there = F.expr("pmod(_bit, 8)").cast("int")
+        placed = rows.withColumn("_place", place).withColumn("_map", F.expr(f"_place div {BITS_IN_MAP}")).withColumn("_bit", F.expr(f"pmod(_place, {BITS_IN_MAP})"))
+        hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), set_there).cast("int")) != 0, F.lit(False))
+        return placed.join(F.broadcast(self.maps), "_map", "left").withColumn(name, hit).drop("_place", "_map", "_bit", "_bits")
+
+    def keep(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """The rows that may have a wanted key."""
+        return self.mark(rows, *keys).where("_hit").drop("_hit")
+
+
 def uniform(seed: str, *columns: str) -> Column:
     """A number in [0, 1) that depends on the columns' values alone, the same in every run and engine."""
     key = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsift.llm.common import written
+from fleetsift.llm.common import KeyFilter, written
 from fleetsift.llm.components import connected_components
 from fleetsift.shipping import ship_by_value
 
@@ -270,22 +270,29 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
     # Texts with the same label in a path are connected by the links so far; at first each has its own.
     rows = sketches.select(F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"), "rep", "sketch", F.col("rep").alias("label"))
     members, pairs, links = [], [], []
-    other = sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+
+    def sketches_of(wanted: DataFrame, key: str = "rep", sketch: str = "sketch") -> DataFrame:
+        """(key, sketch) for the wanted texts and few others: sketches that no row needs are not shuffled."""
+        return KeyFilter(wanted, key).keep(sketches.select(F.col("rep").alias(key), F.col("sketch").alias(sketch)), key)
+
     order = F.xxhash64("pivot", "path")
     while True:
         split = written(rows.mapInArrow(_splitter(threshold, factor), "path bigint, rep bigint, label bigint"), "paths")
-        labels = split.select("path", "label", F.lit(1).cast("bigint").alias("n"), F.col("rep").alias("low"), F.col("rep").alias("high"),
-                              F.col("rep").alias("pivot"), F.xxhash64("rep").alias("mark"))
         if links:
-            labels = labels.groupBy("path", "label").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
-                                                         F.min_by("pivot", order).alias("pivot"), F.bit_xor("mark").alias("mark"))
-        # The pivot is a random text; where that bears the largest label, one of the smallest.
-        buckets = written(labels.groupBy("path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("mark").alias("mark"),
-                                                     F.max(F.struct("n", "label")).alias("top"), F.min_by(F.struct("label", "pivot"), order).alias("drawn"),
-                                                     F.min_by("pivot", F.struct("n", order)).alias("least"))
-                          .where("n > top.n and low < high")
-                          .select("path", "n", "low", "high", "mark", F.col("top.label").alias("top"), F.col("top.n").alias("n_top"),
-                                  F.when(F.col("drawn.label") == F.col("top.label"), F.col("least")).otherwise(F.col("drawn.pivot")).alias("pivot")), "buckets")
+            labels = split.groupBy("path", "label").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"),
+                                                        F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
+            # The pivot is a random text; where that bears the largest label, one of the smallest.
+            buckets = labels.groupBy("path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("mark").alias("mark"),
+                                                 F.max(F.struct("n", "label")).alias("top"), F.min_by(F.struct("label", "pivot"), order).alias("drawn"),
+                                                 F.min_by("pivot", F.struct("n", order)).alias("least"))
+            pivot = F.when(F.col("drawn.label") == F.col("top.label"), F.col("least")).otherwise(F.col("drawn.pivot"))
+            buckets = buckets.where("n > top.n").select("path", "n", "low", "high", "mark", F.col("top.label").alias("top"), F.col("top.n").alias("n_top"), pivot.alias("pivot"))
+        else:
+            # Each text still bears its own label: plain numbers say it all.
+            buckets = split.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark"),
+                                                F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"))
+            buckets = buckets.select("path", "n", "low", "high", "mark", F.col("low").alias("top"), F.lit(1).cast("bigint").alias("n_top"), "pivot")
+        buckets = written(buckets.where("low < high"), "buckets")
         # Texts that share much meet in many buckets: one of those with the same members is enough.
         pairs.append(buckets.where("n = 2").select("low", "high"))
         pieces = F.ceil(F.col("n_top") / SMALL)
@@ -298,20 +305,24 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
         large = buckets.where(F.col("n") - F.col("n_top") > SMALL).select("path", "pivot")
         if large.isEmpty():
             break
-        pivots = written(large.join(other, "pivot"), "pivots")
-        compared = written(split.join(pivots, "path").join(sketches, "rep")
+        pivots = written(large.join(sketches_of(large, "pivot", "pivot_sketch"), "pivot"), "pivots")
+        inside = written(split.join(large.select("path"), "path"), "inside")
+        own = sketches_of(inside)
+        compared = written(inside.join(pivots, "path").join(own, "rep")
                            .select("path", "rep", "sketch", "pivot", "pivot_sketch", "label")
                            .mapInArrow(_near(least_equal - CLOSE, CLOSE), near_type), "compared")
         links.append(compared.where("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         # Who is near brings all of its label along.
         reached = written(compared.where("near").select("path", "label", "pivot").distinct(), "reached")
-        rows = (compared.where("not leaves").select("path", "rep", "label").join(reached, ["path", "label"], "left").join(sketches, "rep")
+        rows = (compared.where("not leaves").select("path", "rep", "label").join(reached, ["path", "label"], "left").join(own, "rep")
                 .select("path", "rep", "sketch", F.coalesce("pivot", "label").alias("label")))
-    two = reduce(DataFrame.union, pairs).distinct().select(F.lit(0).cast("bigint").alias("path"), F.col("low").alias("rep"), F.col("high").alias("pivot"))
-    links.append(two.join(sketches, "rep").join(other, "pivot").select("path", "rep", "sketch", "pivot", "pivot_sketch", F.col("rep").alias("label"))
+    two = written(reduce(DataFrame.union, pairs).distinct().select(F.lit(0).cast("bigint").alias("path"), F.col("low").alias("rep"), F.col("high").alias("pivot")), "two")
+    links.append(two.join(sketches_of(two), "rep").join(sketches_of(two, "pivot", "pivot_sketch"), "pivot")
+                 .select("path", "rep", "sketch", "pivot", "pivot_sketch", F.col("rep").alias("label"))
                  .mapInArrow(_near(least_equal), near_type)
                  .where("near").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-    placed = reduce(DataFrame.union, members).join(sketches, "rep").select("path", "rep", "sketch")
+    met = written(reduce(DataFrame.union, members), "met")
+    placed = met.join(sketches_of(met), "rep").select("path", "rep", "sketch")
     links.append(placed.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_forest(least_equal), "a bigint, b bigint"))
     return reduce(DataFrame.union, links)
 
@@ -343,11 +354,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clusters = connected_components(found)
     sizes = written(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes")
     no_id = -(1 << 63)
-    wanted = (clusters.join(sizes, "component").withColumnRenamed("node", "rep")
-              .join(classes.select("rep", "weight", F.coalesce("rep_id", F.lit(no_id)).alias("rep_id")), "rep"))
+    wanted = written(clusters.join(sizes, "component").withColumnRenamed("node", "rep")
+                     .join(classes.select("rep", "weight", F.coalesce("rep_id", F.lit(no_id)).alias("rep_id")), "rep"), "wanted")
     texts = rows.where("text is not null").select(F.col("text_key").alias("rep"), F.coalesce("doc_id", F.lit(no_id)).alias("rep_id"), "text")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    pairs = (wanted.join(texts, ["rep", "rep_id"])
+    # Texts outside clusters stay where they are.
+    pairs = (wanted.join(KeyFilter(wanted, "rep", "rep_id").keep(texts, "rep", "rep_id"), ["rep", "rep_id"])
              .groupBy("rep", "component", "blocks", "weight").agg(F.first("text").alias("text"))  # repeated rows
              .withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
              .select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "block", "rep", "weight", "text"))
@@ -372,14 +384,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def one_of_each(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `jaccard_join` keeps, with all their columns, one of each class."""
-    picked = (decisions.where("kept and n_shingles > 0")
-              .groupBy("class_key").agg(F.min("text_key").alias("key"), F.min("class_id").alias("id"), F.count("*").alias("times"))
-              .select(F.struct("id", "key", "times").alias("picked")))
+    counted = decisions.where("n_shingles > 0")
+    picked = written(counted.where("kept").groupBy("class_key").agg(F.min("text_key").alias("key"), F.min("class_id").alias("id"), F.count("*").alias("times")), "picked")
+    # Most rows are the only kept one of their class: they pass as they are.  The others, and those a filter takes for them, are looked up.
+    again = counted.where("kept").join(picked.where("times > 1").select("class_key"), "class_key", "left_semi")
+    doubtful = written(counted.where("not kept").select("doc_id", "text_key").union(again.select("doc_id", "text_key")), "doubtful")
     # The documents' own columns in one struct: no name of theirs can clash.
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    keyed = docs.select(whole.alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("key"))
-    found = keyed.join(picked, keyed["id"].eqNullSafe(F.col("picked.id")) & (keyed["key"] == F.col("picked.key")))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.select(whole.alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("key"), worded.alias("worded"))
+    marked = KeyFilter(doubtful, "doc_id", "text_key").mark(keyed, "id", "key")
+    plain = marked.where("not worded or not _hit").select("row")
+    picks = picked.select(F.struct("id", "key", "times").alias("picked"))
+    found = marked.where("worded and _hit").join(picks, F.col("id").eqNullSafe(F.col("picked.id")) & (F.col("key") == F.col("picked.key")))
     once = found.where("picked.times = 1").select("row")
-    again = found.where("picked.times > 1").dropDuplicates(["id", "key"]).select("row")
-    wordless = docs.where(F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))).select(whole.alias("row"))
-    return once.union(again).union(wordless).select("row.*").toDF(*docs.columns)
+    first = found.where("picked.times > 1").dropDuplicates(["id", "key"]).select("row")
+    return plain.union(once).union(first).select("row.*").toDF(*docs.columns)
