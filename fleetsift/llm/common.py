@@ -50,7 +50,7 @@ class KeyFilter:
     """A bitmap of the wanted keys' hashes, in a table of at most 32 MB, for joins that few rows survive.
 
     `mark` adds a column that is true for every row with a wanted key and for a few others, without
-    shuffling the rows.  It only spares the join that follows some rows: where there are more wanted
+    shuffling the rows.  A task makes four maps of 4096 bytes.  It only spares the join that follows some rows: where there are more wanted
     keys than the bitmap has room for, more rows pass, and the answer is the same.  Null keys hash
     like any value.
     """
@@ -60,7 +60,7 @@ class KeyFilter:
         self.bits = min(MOST_BITS, max(BITS_IN_MAP, 1 << (BITS_FOR_KEY * n - 1).bit_length()))
         places = wanted.select(self._place(keys).alias("place"))
         maps = (places.select(F.expr(f"place div {BITS_IN_MAP}").alias("_map"), F.pmod("place", F.lit(BITS_IN_MAP)).alias("bit"))
-                .repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("bit").alias("_bits")))
+                .repartition(-(-self.bits // (4 * BITS_IN_MAP)), "_map").groupBy("_map").agg(F.bitmap_construct_agg("bit").alias("_bits")))
         self.maps = written(maps, "key-filter")
 
     def _place(self, keys) -> Column:
