@@ -7,7 +7,7 @@ variants kept apart; what stays below the threshold is `unknown`.  A family is c
 paragraph holds most words of one of its notices.  DataFrame and SQL functions and Spark's own
 regression only.
 
-Only n-grams with a *cue*, a word of the notices that hardly occurs in the sampled documents, are
+Only n-grams with a *cue*, a word of the notices that hardly occurs in lines of the documents, are
 features.  A paragraph without a cue has no feature and is `none` by the intercepts; so looking for
 cues first, once over all words of a text, changes no answer.
 """
@@ -45,8 +45,10 @@ NOTICES = [
     ("unknown", ["All rights reserved", "See the LICENSE file for details", "Licensed under the terms of the accompanying agreement",
                  "This text is licensed under a custom licence", "Distributed under a proprietary license", "Copyright by the authors, use only with written permission"]),
 ]
-#: Sampled documents for class `none`, lines of them at most, variants of each notice, share of their words left out.
-SAMPLE_DOCS, SAMPLE_LINES, VARIANTS, DROPPED = 300, 1_000, 16, 0.15
+#: Sampled documents for class `none`, lines drawn from each, variants of each notice, share of their words left out.
+SAMPLE_DOCS, LINES_OF_DOC, VARIANTS, DROPPED = 300, 4, 16, 0.15
+#: Lines that speak of licences are no examples of class `none`.
+SPEAKS = r"(?i)licen[cs]e|copyright|rights reserved"
 
 
 def line_words(text: Column | str) -> Column:
@@ -74,16 +76,24 @@ class LicenseModel:
 
 
 def train(docs: DataFrame, notices=None, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
-    """Fits on notices and at most SAMPLE_LINES lines of SAMPLE_DOCS documents, drawn by a hash of their ids."""
+    """Fits on notices and at most LINES_OF_DOC lines of each of SAMPLE_DOCS documents, both drawn by hashes.
+
+    Which words are cues rests on all lines of all documents: a word of the notices that over 1 % of them hold is none.
+    """
     spark = docs.sparkSession
     notices = notices or NOTICES
-    drawn = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("text")).orderBy(uniform("licences", "_id"), "_id").limit(SAMPLE_DOCS)
-    lines = drawn.select(F.explode(F.split("text", "\n")).alias("text")).where(~F.col("text").rlike(r"(?i)licen[cs]e|copyright|rights reserved")).limit(SAMPLE_LINES)
-    plain = written(lines.select(line_words("text").alias("words")).where(F.size("words") > 0), "licence-lines")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("text"))
+    plain_lines = F.filter(F.split("text", "\n"), lambda t: ~t.rlike(SPEAKS) & t.rlike("[A-Za-z0-9]"))
+    drawn = texts.orderBy(uniform("licences", "_id"), "_id", "text").limit(SAMPLE_DOCS)
+    lines = drawn.select(F.explode(F.slice(F.array_sort(F.transform(plain_lines, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), 1, LINES_OF_DOC)).alias("line"))
+    plain = written(lines.select(line_words("line.t").alias("words")), "licence-lines")
     known = spark.createDataFrame([(f, t) for f, texts in notices for t in texts], "family string, text string").select("family", line_words("text").alias("words"))
-    n_plain = plain.count()
-    common = {r[0] for r in plain.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > max(1, n_plain / 100)).collect()}
     vocabulary = {r[0] for r in known.select(F.explode("words")).distinct().collect()}
+    # One row for each word of the notices leaves a task; the empty word counts the lines.
+    wanted = F.array(*[F.lit(w) for w in sorted(vocabulary)])
+    held = texts.select(F.explode(plain_lines).alias("line")).select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(wanted, line_words("line")))).alias("w"))
+    times = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    common = {w for w, n in times.items() if w and n > max(1, times[""] / 100)}
     cues = sorted(w for w in vocabulary - common if len(w) > 1)
     grams = sorted(r[0] for r in known.select(F.explode(anchored("words", cues))).distinct().collect())
     variant = F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))
@@ -107,23 +117,33 @@ def train(docs: DataFrame, notices=None, id_col: str = "doc_id", text_col: str =
     return LicenseModel(cues, weights, intercepts, classes, temperature)
 
 
-def scan(docs: DataFrame, model: LicenseModel, notices=None, least: float = 0.5, similar: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: LicenseModel, notices=None, least: float = 0.5, similar: float = 0.6, covered: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed, line): one row for each paragraph that states a licence.
 
-    Paragraphs are lines, counted from 0.  `family` is the likeliest class if its calibrated
-    probability is `least` or more; a paragraph likelier to state some licence than none, but none
-    of the families so surely, is `unknown`.  `similarity` is the largest share of a notice's words
-    that the paragraph holds, over the family's notices (0 for unknown); a family is `confirmed`
-    from `similar` on.  Null and empty texts have no paragraph that counts; null ids and repeated
-    rows come as they are; other columns are ignored; an empty table gives no rows.
+    Paragraphs are lines, counted from 0, and runs of adjacent lines that all hold a cue, as a
+    wrapped notice does.  `family` is the likeliest class if its calibrated probability is `least`
+    or more; a paragraph likelier to state some licence than none, but none of the families so
+    surely, is `unknown`.  `similarity` is the largest share of a notice's words that the paragraph
+    holds, over the family's notices (0 for unknown); a family is `confirmed` from `similar` on.
+    A run counts only if it is confirmed by a notice that holds `covered` of the run's words, and
+    none of its lines is confirmed alone; it then stands for its lines, under its first line's
+    number, with its lines joined by a space.  Null and empty texts have no paragraph that counts;
+    null ids and repeated rows come as they are; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     notices = notices or NOTICES
     cues = F.array(*[F.lit(c) for c in model.cues])
     # One pass over all words; texts without a cue end here.
     cued = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.arrays_overlap(line_words("text"), cues))
-    lines = cued.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.arrays_overlap(line_words("line"), cues))
-    lines = written(lines, "licence-paragraphs")
+    # Cued lines bear their number, others are blank; so blank lines part the runs.
+    numbered = F.transform(F.split("text", "\n"), lambda t, i: F.when(F.arrays_overlap(line_words(t), cues), F.concat(i.cast("string"), F.lit("\x01"), t)).otherwise(""))
+    runs = cued.select("doc_id", F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("run")).select("doc_id", F.filter(F.split("run", "\n"), lambda t: t != "").alias("run"))
+    runs = runs.where(F.size("run") > 0).withColumn("first", F.substring_index(F.get("run", F.lit(0)), "\x01", 1).cast("int"))
+    runs = runs.withColumn("run", F.transform("run", lambda t: F.regexp_replace(t, "^[0-9]+\x01", ""))).withColumn("run_id", F.monotonically_increasing_id())
+    whole = F.when(F.size("run") > 1, F.array(F.struct(F.col("first").alias("paragraph"), F.array_join("run", " ").alias("line"), F.lit(True).alias("whole")))) \
+        .otherwise(F.array().cast("array<struct<paragraph:int,line:string,whole:boolean>>"))
+    single = F.transform("run", lambda t, i: F.struct((F.col("first") + i).alias("paragraph"), t.alias("line"), F.lit(False).alias("whole")))
+    lines = written(runs.select("doc_id", "run_id", F.explode(F.concat(single, whole)).alias("part")).select("doc_id", "run_id", "part.*"), "licence-paragraphs")
     # Equal paragraphs are judged once.
     grams = lines.select("line").distinct().withColumn("words", line_words("line")).select("line", F.explode(anchored("words", model.cues)).alias("gram"))
     n = len(model.classes)
@@ -143,8 +163,14 @@ def scan(docs: DataFrame, model: LicenseModel, notices=None, least: float = 0.5,
         F.when(F.col("best") >= least, F.col("best")).otherwise(1 - F.col("none")).alias("probability"))
     known = spark.createDataFrame([(f, t) for f, texts in notices for t in texts if f != "unknown"], "family string, notice string").select(
         "family", F.array_distinct(line_words("notice")).alias("notice"))
-    shared = F.size(F.array_intersect("notice", line_words("line"))) / F.size("notice")
-    compared = judged.join(F.broadcast(known), "family", "left").groupBy("line", "family", "probability").agg(F.coalesce(F.max(shared), F.lit(0.0)).alias("similarity"))
+    shared = F.size(F.array_intersect("notice", line_words("line")))
+    likeness, cover = shared / F.size("notice"), shared / F.size(F.array_distinct(line_words("line")))
+    compared = judged.join(F.broadcast(known), "family", "left").groupBy("line", "family", "probability").agg(
+        F.coalesce(F.max(likeness), F.lit(0.0)).alias("similarity"), F.coalesce(F.max(F.when(likeness >= similar, cover)), F.lit(0.0)).alias("cover"))
     compared = written(compared, "licence-verdicts")
-    return lines.join(compared, "line").select("doc_id", "paragraph", "family", "probability", "similarity",
-                                               ((F.col("family") != "unknown") & (F.col("similarity") >= similar)).alias("confirmed"), "line")
+    sure = (F.col("family") != "unknown") & (F.col("similarity") >= similar)
+    found = written(lines.join(compared, "line").withColumn("confirmed", sure), "licence-found")
+    states = found.groupBy("run_id").agg(F.max(F.col("whole") & F.col("confirmed") & (F.col("cover") >= covered)).alias("by_run"), F.max(~F.col("whole") & F.col("confirmed")).alias("by_line"))
+    merged = states.where("by_run and not by_line").select("run_id", F.lit(True).alias("merged"))
+    return found.join(merged, "run_id", "left").where(F.col("whole") == F.coalesce("merged", F.lit(False))).select(
+        "doc_id", "paragraph", "family", "probability", "similarity", "confirmed", "line")

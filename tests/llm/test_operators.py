@@ -367,3 +367,15 @@ def test_licenses(spark):
     found = {r.doc_id: (r.family, r.confirmed, r.paragraph) for r in got}
     assert found == {1000 + k: (f, True, 1) for k, f in enumerate(want)} | {2000: ("unknown", False, 0), None: ("MIT", True, 0)}
     assert licenses.scan(docs.limit(0), model).count() == 0
+
+
+def test_wrapped_licence_notices(spark):
+    """A notice wrapped over lines is one row, under its first line; notices in lines of their own stay apart."""
+    prose = "\n".join(f"The river {k} was calm and the boats of the town went out early" for k in range(40))
+    mit = ["Permission is hereby granted, free of charge, to any person", "obtaining a copy of this software and associated", "documentation files"]
+    two = ["Released under the MIT License", "Licensed under the Apache License, Version 2.0"]
+    rows = [(k, prose) for k in range(30)] + [(100, "\n".join(["Story", "", *mit, "", "End"])), (None, "\n".join(mit)), (101, "\n".join(two)), (102, " ".join(mit)), (103, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = licenses.train(docs)
+    got = sorted((r.doc_id or 0, r.paragraph, r.family, r.confirmed) for r in licenses.scan(docs, model).collect())
+    assert got == [(0, 0, "MIT", True), (100, 2, "MIT", True), (101, 0, "MIT", True), (101, 1, "Apache-2.0", True), (102, 0, "MIT", True)]
