@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsift.functions import text, versions
+from fleetsift.functions import specifiers, text, versions
 from fleetsift.functions.first import first_per_group
 from fleetsift.operators import ingest
 from fleetsift.schemas import FINDINGS, conform
@@ -133,17 +133,25 @@ def match_advisories(declared: DataFrame, advisories: DataFrame) -> DataFrame:
     entries = declared.select("scan_id", "file_path", "ecosystem", "package", "version").distinct().withColumn("name", _normal_name())
     distinct_versions = (entries.select("ecosystem", "name", "version").distinct()
                          .withColumn("v", versions.version_key(F.col("version"))).filter("v is not null"))
-    ranges = (advisories.select("ecosystem", _normal_name().alias("name"), "cve_id", "introduced", "fixed").distinct()
-              .withColumns({"low": versions.version_key(F.col("introduced")), "high": versions.version_key(F.col("fixed"))})
-              .filter("(introduced is null or low is not null) and (fixed is null or high is not null)"))
-    affected = (distinct_versions.join(ranges, ["ecosystem", "name"])
+    affected = (distinct_versions.join(_advisory_ranges(advisories), ["ecosystem", "name"])
                 .filter((F.col("low").isNull() | (F.col("low") <= F.col("v"))) & (F.col("high").isNull() | (F.col("v") < F.col("high"))))
                 .groupBy("ecosystem", "name", "version", "cve_id")
-                .agg(F.min_by("fixed", F.struct(F.col("fixed").isNull(), "high", "fixed")).alias("fixed")))
+                .agg(_lowest_fixed()))
     return entries.join(affected, ["ecosystem", "name", "version"]).select(
         "ecosystem", "package", "version", "scan_id", "file_path", "cve_id", "fixed")
 
 
+def _advisory_ranges(advisories: DataFrame) -> DataFrame:
+    """Distinct advisories with the keys of their bounds; those with a bound that is no plain version are left out."""
+    return (advisories.select("ecosystem", _normal_name().alias("name"), "cve_id", "introduced", "fixed").distinct()
+            .withColumns({"low": versions.version_key(F.col("introduced")), "high": versions.version_key(F.col("fixed"))})
+            .filter("(introduced is null or low is not null) and (fixed is null or high is not null)"))
+
+
+def _lowest_fixed() -> Column:
+    return F.min_by("fixed", F.struct(F.col("fixed").isNull(), "high", "fixed")).alias("fixed")
+
+
 def _normal_name() -> Column:
     python = F.lower(F.regexp_replace("package", "[-_.]+", "-"))
     return F.when(F.col("ecosystem") == "python", python).otherwise(F.col("package"))
@@ -162,6 +170,96 @@ def raw_from_advisories(matches: DataFrame) -> DataFrame:
         F.struct("version", "fixed").alias("position"))
 
 
+# --- Version specifiers against advisories -------------------------------------
+
+_NOT_IN_LINE = r"(^|\s)#.*$|\s--?[a-z].*$|;.*$"
+_NAMED = r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?\s*((?:[=<>!~(@].*)?)$"
+#: Sections of package.json and the scope of what they list.
+NODE_SECTIONS = {"dependencies": "runtime", "devDependencies": "development", "optionalDependencies": "optional"}
+
+
+def declared_specifiers(manifests: DataFrame) -> DataFrame:
+    """Manifest files -> (scan_id, file_path, ecosystem, package, scope, specifier), all entries of them.
+
+    Lines of requirements.txt with any specifier or none, without comments, markers and options;
+    lines that are options only are left out.  `dependencies`, `devDependencies` and
+    `optionalDependencies` of package.json, the specifier as it is written.
+    """
+    known = ingest.auditable_manifests(manifests)
+    joined = F.regexp_replace(text.newline_breaks(F.col("content")), r"\\\n", " ")
+    lines = (known.filter("ecosystem = 'python'")
+             .select("scan_id", "path", "ecosystem", F.explode(F.split(joined, "\n")).alias("line"))
+             .withColumn("line", F.rtrim(F.regexp_replace("line", _NOT_IN_LINE, "")))
+             .filter(F.col("line").rlike(_NAMED))
+             .select("scan_id", "path", "ecosystem", F.regexp_extract("line", _NAMED, 1).alias("package"), F.lit("runtime").alias("scope"),
+                     F.trim(F.translate(F.regexp_extract("line", _NAMED, 2), "()", "")).alias("specifier")))
+    document = F.from_json("content", ", ".join(f"{name} map<string,string>" for name in NODE_SECTIONS))
+    sections = F.map_from_arrays(F.array(*[F.lit(scope) for scope in NODE_SECTIONS.values()]),
+                                 F.array(*[F.col("document")[name] for name in NODE_SECTIONS]))
+    entries = (known.filter("ecosystem = 'node'").withColumn("document", document)
+               .select("scan_id", "path", "ecosystem", F.explode(sections).alias("scope", "entries"))
+               .select("scan_id", "path", "ecosystem", F.explode("entries").alias("package", "specifier"), "scope"))
+    return lines.unionByName(entries).withColumnRenamed("path", "file_path")
+
+
+def match_specifiers(declared: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Declared specifiers that allow a version with `introduced <= version < fixed` for some advisory.
+
+    One row per (scan, file, ecosystem, package, scope, specifier, CVE).  `is_range` tells a
+    specifier that allows more than one version from a pin; `certain` that one advisory holds all
+    versions it allows.  `fixed` is the lowest fixed version of the advisories it meets, NULL where
+    none has one.  Intervals are read and met over the distinct specifiers of each package and
+    joined back by equality.  Specifiers that are not understood match nothing;
+    `unmatched_specifiers` lists them.
+    """
+    entries = (declared.select("scan_id", "file_path", "ecosystem", "package", "scope", "specifier").distinct()
+               .withColumn("name", _normal_name()))
+    allowed = (entries.select("ecosystem", "name", "specifier").distinct()
+               .withColumn("allowed", specifiers.intervals(F.col("ecosystem"), F.col("specifier"))).filter("allowed is not null")
+               .withColumn("is_range", ~specifiers.is_single(F.col("allowed"))))
+    ranges = _advisory_ranges(advisories)
+
+    def below(a: Column, b: Column) -> Column:
+        return F.coalesce(a < b, F.lit(True))
+
+    def inside(i: Column) -> Column:
+        return (F.col("low").isNull() | F.coalesce(F.col("low") <= i["low"], F.lit(False))) & (
+            F.col("high").isNull() | F.coalesce(i["high"] <= F.col("high"), F.lit(False)))
+
+    affected = (allowed.join(ranges, ["ecosystem", "name"])
+                .filter(F.exists("allowed", lambda i: below(i["low"], F.col("high")) & below(F.col("low"), i["high"])))
+                .withColumn("certain", F.forall("allowed", inside))
+                .groupBy("ecosystem", "name", "specifier", "is_range", "cve_id")
+                .agg(_lowest_fixed(), F.max("certain").alias("certain")))
+    return entries.join(affected, ["ecosystem", "name", "specifier"]).select(
+        "scan_id", "file_path", "ecosystem", "package", "scope", "specifier", "cve_id", "is_range", "certain", "fixed")
+
+
+def unmatched_specifiers(declared: DataFrame) -> DataFrame:
+    """Entries whose specifier is not understood (addresses, tags, odd versions): no advisory was held against them."""
+    kinds = (declared.select("ecosystem", "specifier").distinct()
+             .filter(specifiers.intervals(F.col("ecosystem"), F.col("specifier")).isNull()))
+    same = declared["specifier"].eqNullSafe(kinds["specifier"]) & (declared["ecosystem"] == kinds["ecosystem"])
+    return declared.join(kinds, same, "left_semi")
+
+
+def raw_from_specifiers(matches: DataFrame) -> DataFrame:
+    """Specifier matches in the form of raw vulnerabilities, for `dependency_findings`."""
+    kind = F.when(F.col("certain"), "Every version it allows is affected").otherwise("Some of the versions it allows are affected")
+    return matches.select(
+        "scan_id", "file_path", "ecosystem", "package", F.col("specifier").alias("version"), "cve_id",
+        F.array_compact(F.array("fixed")).alias("fix_versions"),
+        F.when(F.col("is_range"), F.concat(kind, F.lit(" ("), "scope", F.lit(")."))).otherwise("").alias("description"),
+        F.when(F.col("ecosystem") == "python", 0).otherwise(1).alias("source_rank"),
+        F.struct("specifier", "scope", "fixed").alias("position"))
+
+
+def not_reported(matches: DataFrame, raw: DataFrame) -> DataFrame:
+    """Matches without those that an external audit reported for the same scan, CVE and package."""
+    reported = with_cve_key(raw).select("scan_id", "cve_id", "package").distinct()
+    return matches.join(reported, ["scan_id", "cve_id", "package"], "left_anti")
+
+
 # --- The CVE table ------------------------------------------------------------
 
 def upsert_cves(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -15,13 +15,14 @@ from fleetsift.sources.secret_rules import BUILT_IN, SecretRule
 
 
 def scan_files(files: DataFrame, *, requests: DataFrame | None = None, raw_dependencies: DataFrame | None = None,
-               cve_feed: DataFrame | None = None, extra_findings: DataFrame | None = None,
+               cve_feed: DataFrame | None = None, advisories: DataFrame | None = None, extra_findings: DataFrame | None = None,
                secret_rules: Sequence[SecretRule] = BUILT_IN, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Findings of all scanners over `repo_files`, not yet scored.
 
     `requests` switches scanners off per scan.  `raw_dependencies` are the
     flattened dependency audits, `extra_findings` imported static-analysis
-    findings.
+    findings.  With `advisories`, the specifiers in the files' own manifests are held against
+    them; what the audits report too is not listed twice.
     """
     def wanted(scanner: str) -> DataFrame:
         return files if requests is None else ingest.files_to_scan(files, requests, scanner)
@@ -31,10 +32,14 @@ def scan_files(files: DataFrame, *, requests: DataFrame | None = None, raw_depen
     others = []
     if extra_findings is not None:
         others.append(conform(extra_findings, FINDINGS))
+    if (raw_dependencies is not None or advisories is not None) and cve_feed is None:
+        raise ValueError("dependency audits need the CVE table")
     if raw_dependencies is not None:
-        if cve_feed is None:
-            raise ValueError("dependency audits need the CVE table")
         others.append(deps.dependency_findings(raw_dependencies, cve_feed))
+    if advisories is not None:
+        matches = deps.match_specifiers(deps.declared_specifiers(wanted("dependency")), advisories)
+        matches = matches if raw_dependencies is None else deps.not_reported(matches, raw_dependencies)
+        others.append(deps.dependency_findings(deps.raw_from_specifiers(matches), cve_feed))
     found = scoring.union_findings(*parts, *others)
     return found if requests is None else conform(ingest.drop_skipped_scanners(found, requests), FINDINGS)
 

@@ -139,3 +139,75 @@ def test_advisories_without_a_fix_and_python_names(spark):
     assert got == {("Django_Rest", "C1", None), ("Django_Rest", "C2", "2")}
     raw = deps.raw_from_advisories(deps.match_advisories(declared, advisories)).collect()
     assert {tuple(r.fix_versions) for r in raw} == {(), ("2",)}
+
+
+def test_python_specifiers_against_packaging(spark):
+    from packaging.specifiers import SpecifierSet
+    from packaging.version import Version
+
+    from fleetsift.functions import specifiers, versions
+
+    grid = ["0", "0.9", "1.0rc1", "1.0", "1.0.0.1", "1.0.1", "1.4", "1.4.2rc1", "1.4.2", "1.4.5", "1.4.10", "1.5rc1", "1.5", "1.5.1", "1.10", "2.0a1", "2.0", "2.0.1", "10"]
+    texts = ["==1.0", "== 1.4.2", "===1.0", ">=1.4", "> 1.4", "<1.5", "<=1.5", "<2.0a1", ">=1.0,<2", ">=1.0, !=1.4.2, !=1.5.*,<2", "!=1.0", "!=1.4.*", "==1.4.*", "==1.*", "~=1.4.2", "~=1.4",
+             "~=1.0.0", ">2,<1", "", ">=1.4.2rc1", "==1.4.2rc1", "<0"]
+    rows = spark.createDataFrame([(t, v) for t in texts for v in grid], "t string, v string").withColumns({
+        "i": specifiers.intervals(F.lit("python"), F.col("t")), "k": versions.version_key(F.col("v"))})
+    inside = F.exists("i", lambda i: F.coalesce(i["low"] <= F.col("k"), F.lit(True)) & F.coalesce(F.col("k") < i["high"], F.lit(True)))
+    for r in rows.select("t", "v", inside.alias("inside")).collect():
+        if "*" in r.t and "==" in r.t and Version(r.v).is_prerelease:
+            continue  # a series leaves out the pre-releases of its first release
+        assert r.inside == SpecifierSet(r.t).contains(r.v, prereleases=True), (r.t, r.v)
+
+
+@pytest.mark.parametrize("specifier, allowed", [
+    ("^1.2.3", ["1.2.3", "1.2.4", "1.9"]), ("^0.2.3", ["0.2.3", "0.2.9"]), ("^0.0.3", ["0.0.3"]), ("^0.0", ["0.0.0", "0.0.3"]), ("^0", ["0.0.0", "0.0.3", "0.2.3", "0.2.9", "0.3.0"]),
+    ("^1.x", ["1.0.0", "1.2.3", "1.2.4", "1.9"]), ("~1.2.3", ["1.2.3", "1.2.4"]), ("~1.2", ["1.2.3", "1.2.4"]), ("~1", ["1.0.0", "1.2.3", "1.2.4", "1.9"]), ("~> 1.2", ["1.2.3", "1.2.4"]),
+    ("1.2", ["1.2.3", "1.2.4"]), ("1.2.x", ["1.2.3", "1.2.4"]), ("v1.2.3", ["1.2.3"]), ("=1.2.3+build.5", ["1.2.3"]), (">1.2", ["1.9", "2.0.0", "2.3.4", "2.3.5"]), (">1.9.0", ["2.0.0", "2.3.4", "2.3.5"]),
+    ("<= 0.2", ["0.0.0", "0.0.3", "0.2.3", "0.2.9"]), ("<0.2.3", ["0.0.0", "0.0.3"]), ("1.2.4 - 2.3.4", ["1.2.4", "1.9", "2.0.0", "2.3.4"]), ("1.9 - 2.3", ["1.9", "2.0.0", "2.3.4", "2.3.5"]),
+    (">=1.9.0 <2.0.0-0", ["1.9"]), ("^0.0.3 || ^2 || 1.2.3", ["0.0.3", "1.2.3", "2.0.0", "2.3.4", "2.3.5"]), (">= 2.0.0", ["2.0.0", "2.3.4", "2.3.5"]), (">2 <1", []), ("<1.0.0 || ", None),
+    ("*", None), ("", None), ("X", None)])
+def test_node_specifiers(spark, specifier, allowed):
+    from fleetsift.functions import specifiers, versions
+
+    grid = ["0.0.0", "0.0.3", "0.2.3", "0.2.9", "0.3.0", "1.0.0", "1.2.3", "1.2.4", "1.9", "2.0.0", "2.3.4", "2.3.5"]
+    rows = spark.createDataFrame([(v,) for v in grid], "v string").withColumns({
+        "i": specifiers.intervals(F.lit("node"), F.lit(specifier)), "k": versions.version_key(F.col("v"))})
+    inside = F.exists("i", lambda i: F.coalesce(i["low"] <= F.col("k"), F.lit(True)) & F.coalesce(F.col("k") < i["high"], F.lit(True)))
+    assert [r.v for r in rows.filter(inside).collect()] == (grid if allowed is None else allowed)
+
+
+def test_specifiers_that_are_not_understood(spark):
+    odd = [("node", "latest"), ("node", "git+ssh://git@h/x#v1"), ("node", "file:../x"), ("node", "npm:a@^1"), ("node", "!=1"), ("node", "^1 || next"), ("node", None),
+           ("python", "1.0"), ("python", "@ https://h/x.whl"), ("python", "^1.0"), ("python", ">=1.*"), ("python", "~=1"), ("python", "==1!2.0"), ("python", ">=1.0.post1"), ("python", None)]
+    declared = spark.createDataFrame([(1, "f", e, f"p{k}", "runtime", s) for k, (e, s) in enumerate([*odd, ("node", "^1"), ("python", "")])],
+                                     "scan_id bigint, file_path string, ecosystem string, package string, scope string, specifier string")
+    assert {r.package for r in deps.unmatched_specifiers(declared).collect()} == {f"p{k}" for k in range(len(odd))}
+    advisories = declared.select("ecosystem", "package", F.lit("C").alias("cve_id"), F.lit(None).cast("string").alias("introduced"), F.lit("9").alias("fixed"))
+    got = {(r.package, r.is_range, r.certain) for r in deps.match_specifiers(declared, advisories).collect()}
+    assert got == {(f"p{len(odd)}", True, True), (f"p{len(odd) + 1}", True, False)}
+
+
+def test_declared_specifiers(make_files):
+    files = make_files(("a/requirements.txt", "# c\nDjango[x] == 3.2.1 ; python_version>'3'\nrequests >=2, \\\n  <3  # why\nflask\n-r other.txt\n--hash=sha256:1\n"
+                                              "old (>=1.0)\nlocal @ file:///x\nh==1 --hash=sha256:ab\n!\n"),
+                       ("b/package.json", '{"dependencies": {"a": "^1.0.0"}, "devDependencies": {"y": "1 || 2"}, "optionalDependencies": {"z": "*"}, "peerDependencies": {"no": "1"}}'),
+                       ("c/package.json", "{"), ("d/package.json", '{"dependencies": null, "devDependencies": {}}'))
+    assert {(r.package, r.scope, " ".join(r.specifier.split())) for r in deps.declared_specifiers(files).collect()} == {
+        ("Django", "runtime", "== 3.2.1"), ("requests", "runtime", ">=2, <3"), ("flask", "runtime", ""), ("old", "runtime", ">=1.0"), ("local", "runtime", "@ file:///x"), ("h", "runtime", "==1"),
+        ("a", "runtime", "^1.0.0"), ("y", "development", "1 || 2"), ("z", "optional", "*")}
+
+
+def test_audit_of_manifests(spark, make_files):
+    from fleetsift.plans.audit import scan_files
+
+    files = make_files(("requirements.txt", "Django>=3.0,<4\npinned==1.0\n"), ("package.json", '{"devDependencies": {"left": "^1.0.0"}}'))
+    advisories = spark.createDataFrame([("python", "django", "CVE-1", "3.2", "3.5"), ("python", "pinned", "CVE-2", None, "2.0"), ("node", "left", "CVE-3", "1.0.0", "2.0.0")],
+                                       "ecosystem string, package string, cve_id string, introduced string, fixed string")
+    feed = spark.createDataFrame([("CVE-1", 9.8, "critical", "NETWORK", "NONE", "", ["u"], None)], CVE_FEED)
+    raw = spark.createDataFrame([("pinned", "CVE-2")], "package string, cve_id string").selectExpr(
+        "1L as scan_id", "'x' as file_path", "'python' as ecosystem", "package", "'1.0' as version", "cve_id", "array('2.0') as fix_versions", "'by the audit' as description", "0 as source_rank", "1 as position")
+    found = {(r.package_name, r.cve_id): (r.installed_version, r.fix_suggestion, r.description)
+             for r in scan_files(files, advisories=advisories, cve_feed=feed, raw_dependencies=raw).collect()}
+    assert found == {("Django", "CVE-1"): (">=3.0,<4", "Upgrade to: Django==3.5", "Some of the versions it allows are affected (runtime)."),
+                     ("pinned", "CVE-2"): ("1.0", "Upgrade to: pinned==2.0", "by the audit"),
+                     ("left", "CVE-3"): ("^1.0.0", "Upgrade to: left@2.0.0", "Every version it allows is affected (development).")}

@@ -116,6 +116,55 @@ def _(t):
     return deps.declared_dependencies(one).distinct()
 
 
+# Specifiers made of the versions `1.a.b`, seven forms for each ecosystem; every third entry of package.json is in another section.
+_SPECIFIERS = """
+select *, case when ecosystem = 'python' then 'runtime' else case ordinal % 3 when 0 then 'runtime' when 1 then 'development' else 'optional' end end as scope,
+ case when ecosystem = 'python' then case ordinal % 7 when 0 then concat('>=', version, ', !=', version) when 1 then concat('~= ', version) when 2 then concat('==', version)
+   when 3 then concat('<', version) when 4 then concat('==1.', a, '.*') when 5 then '' else '@ https://x/y.zip' end
+  else case ordinal % 7 when 0 then concat('^', version) when 1 then concat('~', version) when 2 then version
+   when 3 then concat('>= ', version, ' <1.', cast(cast(a as int) + 2 as string), '.0 || ^2') when 4 then concat('1.', a, '.x') when 5 then '*' else 'latest' end end as specifier
+from (select *, regexp_extract(version, '^1[.]([0-9]+)', 1) as a from b_vulns)"""
+_ALLOWED = f"""
+select *, case when ecosystem = 'python' and f = 0 then [v || [1]] when f = 3 and ecosystem = 'python' or f = 5 then [[0]] when f = 3 then [v, [2, 0, 0]]
+  when f = 4 then [[1, m, 0]] when f < 3 then [v] else null end as lows,
+ case when ecosystem = 'python' and f = 0 or f = 5 then [[999999]] when f = 0 then [[2, 0, 0]] when f = 1 or f = 4 then [[1, m + 1, 0]] when f = 2 then [v || [1]]
+  when f = 3 and ecosystem = 'python' then [v] when f = 3 then [[1, m + 2, 0], [3, 0, 0]] else null end as highs
+from (select *, ordinal % 7 as f, cast(a as int) as m, {_version_sql('version')} as v from ({_SPECIFIERS}))"""
+
+
+def _manifests(t):
+    """One manifest per entry, as text."""
+    t.view("b_vulns").createOrReplaceTempView("b_vulns")
+    return t.spark.sql(_SPECIFIERS).selectExpr(
+        "scan_id", "concat('d', cast(ordinal as string), '/', file_path) as path",
+        """case ecosystem when 'python' then concat('# first', chr(10), '-r other.txt', chr(10), package, '[x] ', specifier, ' ; python_version > "3"  # why')
+         else concat('{"name":"x","', case scope when 'runtime' then 'dependencies' when 'development' then 'devDependencies' else 'optionalDependencies' end,
+         '":{"', package, '":"', specifier, '"}}') end as content""")
+
+
+@query("e07_declared_specifiers", f"""
+select scan_id, concat('d', cast(ordinal as varchar), '/', file_path) as file_path, ecosystem, package, scope, specifier from ({_SPECIFIERS})""")
+def _(t):
+    return deps.declared_specifiers(_manifests(t))
+
+
+@query("e07_specifier_matches", f"""
+select scan_id, concat('d', cast(ordinal as varchar), '/', file_path) as file_path, v.ecosystem, v.package, scope, specifier, a.cve_id, f <> 2 as is_range,
+ bool_or(length(lows) = 1 and a.low <= lows[1] and highs[1] <= a.high) as certain, arg_min(a.fixed, a.high) as fixed
+from ({_ALLOWED}) v
+join (select distinct *, {_version_sql('introduced')} as low, {_version_sql('fixed')} as high from b_advisories) a on v.ecosystem = a.ecosystem and v.package = a.package
+where f < 6 and (lows[1] < a.high and a.low < highs[1] or length(lows) = 2 and lows[2] < a.high and a.low < highs[2])
+group by scan_id, ordinal, file_path, v.ecosystem, v.package, scope, specifier, a.cve_id, f""")
+def _(t):
+    return deps.match_specifiers(deps.declared_specifiers(_manifests(t)), t.view("b_advisories"))
+
+
+@query("e07_unmatched_specifiers", f"""
+select scan_id, concat('d', cast(ordinal as varchar), '/', file_path) as file_path, ecosystem, package, scope, specifier from ({_SPECIFIERS}) where ordinal % 7 = 6""")
+def _(t):
+    return deps.unmatched_specifiers(deps.declared_specifiers(_manifests(t)))
+
+
 @query("k05_upserted_cves", """
 select cve_id, base_score, severity, fetched from (
  select *, row_number() over (partition by cve_id order by fetched desc) as rn from (
