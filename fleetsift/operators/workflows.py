@@ -7,7 +7,9 @@ expression over it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import yaml
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fleetsift.functions.spread import shuffle_tasks
 from fleetsift.operators import ingest
 from fleetsift.schemas import WORKFLOW, parse
 from fleetsift.shipping import ship_by_value
@@ -23,6 +26,39 @@ ship_by_value(__name__)
 
 _MISSING = object()
 
+# Why a file is no workflow.
+NOT_YAML, NO_MAPPING, OUTGROWN, ODD = "not YAML", "no mapping", "aliases outgrow the file", "odd values"
+
+# Entries and characters a document may have for each character of its file.  A file without aliases
+# has less than one entry for each; 64 characters are beyond what any value is written out to.
+ENTRIES_PER_CHARACTER, TEXT_PER_CHARACTER = 16, 64
+# Weight of results held at once, about their bytes: those of one slice of a batch, and those kept for equal files.
+HELD_WEIGHT, ENTRY_WEIGHT = 32_000_000, 200
+# Text of one parsing task: about two minutes' work, however many repositories there are.
+TASK_BYTES = 16_000_000
+
+
+class Outgrown(Exception):
+    """Aliases bring in the same nodes so often that the document outgrows its file."""
+
+
+@dataclass
+class _Room:
+    """What is left for the document of one file."""
+
+    entries: int
+    text: int
+
+    @classmethod
+    def of(cls, content: str) -> _Room:
+        return cls(ENTRIES_PER_CHARACTER * (len(content) + 1), TEXT_PER_CHARACTER * (len(content) + 1))
+
+    def take(self, *texts: str | None) -> None:
+        self.entries -= 1
+        self.text -= sum(len(t) for t in texts if t)
+        if self.entries < 0 or self.text < 0:
+            raise Outgrown
+
 
 def _load(content: str):
     """One loader for every file: the faster one accepts and refuses other texts, and deep ones end its process."""
@@ -87,23 +123,34 @@ def _uses_breaks(uses) -> bool:
         return True
 
 
-def _step(index: int, step: dict) -> dict:
+def _params(params: dict, room: _Room) -> list[tuple[str, str]]:
+    out = []
+    for key, value in params.items():
+        if isinstance(key, str):
+            out.append((_clean(key), _clean(value)))
+            room.take(*out[-1])
+    return out
+
+
+def _step(index: int, step: dict, room: _Room) -> dict:
     uses = step.get("uses")
     run = step.get("run")
     params = step.get("with") or {}
     is_map = isinstance(params, dict)
-    return {
+    row = {
         "step_idx": index,
         "uses": _clean(uses) if isinstance(uses, str) else None,
         "uses_text": "" if uses is None else _clean(uses),
         "uses_breaks": _uses_breaks(uses),
         "run": _clean(run) if isinstance(run, str) else None,
         "with_is_map": is_map,
-        "with_params": [(_clean(k), _clean(v)) for k, v in params.items() if isinstance(k, str)] if is_map else None,
+        "with_params": _params(params, room) if is_map else None,
     }
+    room.take(row["uses"], row["uses_text"], row["run"])
+    return row
 
 
-def _steps(job: dict) -> tuple[str, list[dict]]:
+def _steps(job: dict, room: _Room) -> tuple[str, list[dict]]:
     """`steps_kind`: list, null, empty scalar or scalar; the last three stop some rules."""
     steps = job.get("steps", _MISSING)
     if steps is _MISSING:
@@ -114,59 +161,129 @@ def _steps(job: dict) -> tuple[str, list[dict]]:
         items = list(steps)
     except TypeError:
         return ("scalar" if steps else "empty_scalar"), []
-    return "list", [_step(i, s) for i, s in enumerate(items) if isinstance(s, dict)]
+    return "list", [_step(i, s, room) for i, s in enumerate(items) if isinstance(s, dict)]
 
 
-def _normalise(document: dict) -> dict:
+def _normalise(document: dict, room: _Room) -> dict:
     jobs = document.get("jobs")
     rows = []
     if isinstance(jobs, dict):
         for index, (name, job) in enumerate(jobs.items()):
             if isinstance(job, dict):
-                kind, steps = _steps(job)
-                rows.append({"job_idx": index, "job_name": _clean(name), **_permissions(job.get("permissions")),
-                             "steps_kind": kind, "steps": steps})
+                kind, steps = _steps(job, room)
+                rights = _permissions(job.get("permissions"))
+                for scope in rights["perms"] or [()]:
+                    room.take(*scope)
+                rows.append({"job_idx": index, "job_name": _clean(name), **rights, "steps_kind": kind, "steps": steps})
+                room.take(rows[-1]["job_name"], rights["perms_str"])
     return {"triggers": _triggers(document), **_permissions(document.get("permissions")), "jobs": rows}
 
 
-def parse_workflow(content: str) -> dict | None:
-    """The normalised document, or None for text that is no YAML mapping.  An empty document is an empty mapping."""
+def read_workflow(content: str) -> tuple[dict | None, str | None, int]:
+    """(normalised document, None, its weight), or (None, why there is none, 0).
+
+    An empty document is an empty mapping.  Aliases are followed, each use a step of its own, up to
+    the room that the file's length gives; files without aliases never need more.
+    """
     try:
         document = _load(content) or {}
-        return _normalise(document) if isinstance(document, dict) else None
+        if not isinstance(document, dict):
+            return None, NO_MAPPING, 0
+        room = _Room.of(content)
+        all_of = _Room.of(content)
+        row = _normalise(document, room)
+        return row, None, all_of.text - room.text + ENTRY_WEIGHT * (all_of.entries - room.entries)
+    except Outgrown:
+        return None, OUTGROWN, 0
+    except (yaml.YAMLError, RecursionError):
+        return None, NOT_YAML, 0
     except Exception:  # noqa: BLE001 - whatever one odd file raises must not end the job
-        return None
+        return None, ODD, 0
 
 
-def _parser(workflow_schema: pa.Schema):
-    rows_per_slice = 500
+def parse_workflow(content: str) -> dict | None:
+    return read_workflow(content)[0]
+
 
+class _Reader:
+    """Reads each text once while it is held; fleets repeat their workflow files from scan to scan."""
+
+    def __init__(self):
+        self.held, self.size = {}, 0
+
+    def __call__(self, content: str) -> tuple[dict | None, str | None, int]:
+        if content in self.held:
+            return self.held[content]
+        read = read_workflow(content)
+        if self.size > HELD_WEIGHT:
+            self.held, self.size = {}, 0
+        self.held[content] = read
+        self.size += len(content) + read[2]
+        return read
+
+
+def _slices(contents: list[str], reader: _Reader) -> Iterator[tuple[int, list[tuple[dict | None, str | None, int]]]]:
+    """(first row, what was read) of slices of bounded text and rows."""
+    start, out, size = 0, [], 0
+    for k, content in enumerate(contents):
+        out.append(reader(content))
+        size += out[-1][2]
+        if len(out) >= 500 or size > HELD_WEIGHT:
+            yield start, out
+            start, out, size = k + 1, [], 0
+    if out:
+        yield start, out
+
+
+def _parser(workflow_schema: pa.Schema):
     def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader()
         for batch in batches:
-            for start in range(0, batch.num_rows, rows_per_slice):
-                part = batch.slice(start, rows_per_slice)
-                documents = [parse_workflow(c or "") for c in part.column("content").to_pylist()]
-                kept = part.filter(pa.array([d is not None for d in documents], pa.bool_()))
-                parsed = pa.RecordBatch.from_pylist([d for d in documents if d is not None], schema=workflow_schema)
-                yield pa.RecordBatch.from_arrays(kept.columns + parsed.columns, names=kept.schema.names + parsed.schema.names)
+            contents = [c or "" for c in batch.column("content").to_pylist()]
+            for start, results in _slices(contents, reader):
+                files = batch.slice(start, len(results))
+                reasons = pa.array([reason for _, reason, _ in results], pa.string())
+                parsed = pa.RecordBatch.from_pylist([document or {} for document, _, _ in results], schema=workflow_schema)
+                yield pa.RecordBatch.from_arrays([*files.columns, reasons, *parsed.columns],
+                                                 names=[*files.schema.names, "reason", *parsed.schema.names])
 
     return parse_batches
 
 
-def parse_workflows(files: DataFrame) -> DataFrame:
-    """YAML files -> (repo_url, scan_id, path, content, triggers, perms…, jobs).
+def _tasks(files: DataFrame) -> int:
+    """The shuffle setting's number, or as many as hold TASK_BYTES each where that is more.
 
-    Files that do not parse to a mapping are dropped.  File sizes skew, so the
-    files are spread by path first: one repository with most of the files does
-    not end up in one task.  The number of tasks is set, not left to adaptive
-    execution: parsing takes time, not bytes, and by bytes there would be few.
+    One pass over the sizes; loading the text takes a hundred times as long.  A stream's size is not
+    known beforehand.
     """
-    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = (ingest.yaml_files(files).select("repo_url", "scan_id", "path", "content")
-            .repartition(partitions, "scan_id", "path"))
-    workflow = parse(WORKFLOW)
-    schema = parse("repo_url string, scan_id bigint, path string, content string, " + WORKFLOW)
-    return kept.mapInArrow(_parser(to_arrow_schema(workflow)), schema)
+    least = shuffle_tasks(files)
+    if files.isStreaming:
+        return least
+    size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
+    return max(least, math.ceil((files.agg(F.sum(size)).first()[0] or 0) / TASK_BYTES))
+
+
+def read_workflows(files: DataFrame) -> DataFrame:
+    """YAML files -> (repo_url, scan_id, path, content, reason, triggers, perms…, jobs); `reason` is NULL for workflows.
+
+    File sizes skew, so the files are spread by path first: one repository with most of the files
+    does not end up in one task.  The number of tasks grows with the text; it is not left to
+    adaptive execution, which sizes tasks by compressed bytes: 64 MB of those are hours of parsing.
+    """
+    yaml_files = ingest.yaml_files(files)
+    kept = yaml_files.select("repo_url", "scan_id", "path", "content").repartition(_tasks(yaml_files), "scan_id", "path")
+    schema = parse("repo_url string, scan_id bigint, path string, content string, reason string, " + WORKFLOW)
+    return kept.mapInArrow(_parser(to_arrow_schema(parse(WORKFLOW))), schema)
+
+
+def parse_workflows(files: DataFrame) -> DataFrame:
+    """YAML files -> (repo_url, scan_id, path, content, triggers, perms…, jobs), those that are workflows."""
+    return read_workflows(files).filter("reason is null").drop("reason")
+
+
+def rejected_workflows(files: DataFrame) -> DataFrame:
+    """YAML files that are no workflows -> (repo_url, scan_id, path, reason): no rule looked at them."""
+    return read_workflows(files).filter("reason is not null").select("repo_url", "scan_id", "path", "reason")
 
 
 def exploded_steps(workflows: DataFrame) -> DataFrame:

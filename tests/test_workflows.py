@@ -179,3 +179,61 @@ def test_aliases_do_not_grow_the_text():
 
 def test_very_deep_files_are_skipped():
     assert workflows.parse_workflow("a: " + "[" * 5000 + "]" * 5000) is None
+
+
+@pytest.mark.parametrize("uses", [40, 400, 1500])
+def test_aliases_do_not_grow_the_rows(uses):
+    import tracemalloc
+
+    def bomb(n):
+        return ("p: &p {" + ", ".join(f"k{k}: v" for k in range(n)) + "}\ns: &s [" + ", ".join(["{with: *p}"] * n) + "]\njobs: {"
+                + ", ".join(f"j{k}: {{steps: *s}}" for k in range(n)) + "}\n")
+
+    tracemalloc.start()
+    try:
+        assert workflows.read_workflow(bomb(uses)) == (None, workflows.OUTGROWN, 0) if uses > 40 else True
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3_000 * len(bomb(uses)) + 5_000_000
+
+
+def test_long_texts_under_aliases_do_not_grow():
+    content = "t: &t " + "x" * 100_000 + "\njobs: {a: {steps: [" + ", ".join(["{run: *t}"] * 10_000) + "]}}\n"
+    assert workflows.read_workflow(content) == (None, workflows.OUTGROWN, 0)
+
+
+def test_steps_shared_by_many_jobs_are_steps_of_each():
+    content = "s: &s\n" + "".join(f"  - {{uses: a/b@v{k}, with: {{a: 1, b: 2, c: 3}}}}\n" for k in range(20)) + "jobs:\n" + "".join(f"  j{k}: {{steps: *s}}\n" for k in range(100))
+    document, reason, _ = workflows.read_workflow(content)
+    assert reason is None and [len(j["steps"]) for j in document["jobs"]] == [20] * 100
+
+
+@pytest.mark.parametrize("content", ["{" + "a,b,c,d," * 500 + "}", "- " + "~, " * 5, "k: [" + "~," * 4000 + "]", 'k: "' + "\\x85" * 3000 + '"', "k: !!binary " + "AAAA" * 2000,
+                                     "k: [" + "2024-01-01," * 1000 + "]", "k: {" + ", ".join(f"a{k}: {{}}" for k in range(900)) + "}"])
+def test_files_without_aliases_have_room(content):
+    steps = "".join(f"      - uses: {v}\n        run: {v}\n        with: {{x: {v}, y: {v}}}\n" for v in [content.removeprefix("k: ").removeprefix("- ")])
+    document, reason, _ = workflows.read_workflow("jobs:\n  a:\n    steps:\n" + steps)
+    assert reason in (None, workflows.NOT_YAML) and (document is None) == (reason is not None)
+
+
+def test_rejects_are_listed(make_files):
+    files = make_files(("ok.yml", "a: 1"), ("empty.yml", ""), ("list.yml", "- a"), ("cut.yml", "a: [1"), ("deep.yml", "a: " + "[" * 5000), ("date.yml", "a: 2024-13-45"), ("no.txt", "- a"))
+    assert {(r.path, r.reason) for r in workflows.rejected_workflows(files).collect()} == {
+        ("list.yml", "no mapping"), ("cut.yml", "not YAML"), ("deep.yml", "not YAML"), ("date.yml", "odd values")}
+    assert {r.path for r in workflows.parse_workflows(files).collect()} == {"ok.yml", "empty.yml"}
+
+
+def test_equal_files_are_read_once(monkeypatch):
+    read, real = [], workflows.read_workflow
+    monkeypatch.setattr(workflows, "read_workflow", lambda content: read.append(content) or real(content))
+    reader = workflows._Reader()
+    assert [len(results) for _, results in workflows._slices(["a: 1", "b: 2"] * 600, reader)] == [500, 500, 200]
+    assert read == ["a: 1", "b: 2"]
+
+
+def test_tasks_grow_with_the_text(make_files, monkeypatch):
+    monkeypatch.setattr(workflows, "TASK_BYTES", 100)
+    files = make_files(*[(f"{k}.yml", f"a{k}: " + "x" * 50) for k in range(20)])
+    assert workflows._tasks(files) >= 10
+    assert workflows.parse_workflows(files).count() == 20

@@ -11,6 +11,7 @@ from fleetsift.plans.session import working_directory
 from fleetsift.sources import repo_files, secret_rules
 from fleetsift.sources.audit_reports import static_analysis
 from fleetsift.streaming import continuous
+from verification.inputs import WORKFLOW_NO
 from verification.registry import query
 
 
@@ -256,6 +257,19 @@ def _(t):
                         F.try_element_at("with_params", F.lit("key")).alias("with_key"))
 
 
+@query("w01_rejected_files", """
+select scan_id, path, case wf % 5 when 1 then 'not YAML' when 2 then 'no mapping' when 3 then 'aliases outgrow the file' else 'odd values' end as reason
+from (select distinct scan_id, path, wf from b_wsteps) where wf % 5 > 0""")
+def _(t):
+    # Files as they are, cut off, lists, with aliases of aliases, with a list as a key.
+    wf = f"({WORKFLOW_NO})"
+    broken = t.yaml.selectExpr("repo_url", "scan_id", "path", f"""case {wf} % 5 when 0 then content when 1 then concat(content, chr(10), 'x: [1')
+      when 2 then concat('- w', {wf}) when 3 then concat('p: &p {{', array_join(transform(sequence(1, 200), k -> concat('k', k, ': v')), ', '), '}}', chr(10),
+      's: &s [', array_join(array_repeat('{{with: *p}}', 200), ', '), ']', chr(10), 'jobs: {{', array_join(transform(sequence(1, 200), k -> concat('j', k, ': {{steps: *s}}')), ', '), '}}')
+      else concat('on: 2024-13-45', chr(10), 'jobs: {{}}') end as content""")
+    return workflows.rejected_workflows(broken).select("scan_id", "path", "reason")
+
+
 @query("w02_triggers", "select distinct scan_id, path, triggers_csv from b_wsteps")
 def _(t):
     return workflows.parse_workflows(t.yaml).select("scan_id", "path", F.array_join("triggers", ",").alias("triggers_csv"))
