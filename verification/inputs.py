@@ -238,10 +238,12 @@ class Inputs:
         return df.filter(where) if where else df
 
     def stream(self, name: str) -> DataFrame:
-        """A view over a stream of its table's file."""
+        """A view over a stream of its table's file, or files where the table is a directory.
+
+        A pattern that names the table alone: streams take no path of a single file, but patterns that find one.
+        """
         source = re.search(r"\bfrom (\w+)", VIEWS[name]).group(1)
-        stream = (self.spark.readStream.schema(self.table(source).schema)
-                  .option("pathGlobFilter", f"{source}.parquet").parquet(self.sf_dir))
+        stream = self.spark.readStream.schema(self.table(source).schema).parquet(f"{self.sf_dir}/{{{source}}}.parquet")
         stream.createOrReplaceTempView(f"stream_of_{source}")
         return self.spark.sql(re.sub(r"\bfrom (\w+)", f"from stream_of_{source}", VIEWS[name].strip()))
 
