@@ -1,6 +1,7 @@
 """Workflow parsing and rules: golden cases, odd types, line numbers."""
 
 import pytest
+import yaml
 
 from fleetsift.operators import misconfig, scoring, structural, workflows
 
@@ -237,3 +238,46 @@ def test_tasks_grow_with_the_text(make_files, monkeypatch):
     files = make_files(*[(f"{k}.yml", f"a{k}: " + "x" * 50) for k in range(20)])
     assert workflows._tasks(files) >= 10
     assert workflows.parse_workflows(files).count() == 20
+
+
+USUAL = """---
+name: CI  # comment
+on: {push: {branches: [main, 'rel-*']}}
+jobs:
+  a:
+    strategy: {matrix: {os: [x, y,], n: [1, 2.5, ~]}}
+    steps:
+      - uses: a/b@v1
+        with: {ref: x, key:  "k-${{ hashFiles(x) }}"}
+      - name: >-
+          folded
+            more
+        run: |
+          if [ -n "$x" ]; then
+            ls *.py && make: x || exit 1  # no comment
+          fi
+  'b c':
+    steps:
+    - run: 'it''s
+        two lines'
+"""
+
+
+def test_usual_files_need_no_slow_loader(monkeypatch):
+    expected = yaml.load(USUAL, Loader=yaml.SafeLoader)
+    monkeypatch.setattr(workflows.yaml, "SafeLoader", None)
+    assert workflows._load(USUAL) == expected
+    assert len(workflows.parse_workflow(USUAL)["jobs"]) == 2
+
+
+@pytest.mark.parametrize("text", [
+    "a: |# x\n  b\n", "a:\t b", "a: [b?c, ?d]", "%YAML 1.2\n---\na: b", "a: b\n---\nc: d", "--- a\n...\nb", "a: \x7f", "a: é", "a: &x 1\nb: *x", "a: !!str 1",
+    "a: !x 1", "a: [!x 1]", "a: {b:,c}", "a: {b:?c}", 'a: "\\ud800"', "a: 'b\n--- c'", "a: [" * 400 + "]" * 400, "- " * 600 + "a", "[" * 20_000, "\r\na: b\r\n", "a: b\x85c: d"])
+def test_odd_files_are_read_as_the_plain_loader_reads_them(text):
+    def read(load):
+        try:
+            return repr(load(text))
+        except (yaml.YAMLError, RecursionError) as error:
+            return isinstance(error, yaml.YAMLError)
+
+    assert read(workflows._load) == read(lambda t: yaml.load(t, Loader=yaml.SafeLoader))
