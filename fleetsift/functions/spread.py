@@ -61,7 +61,26 @@ def quantile_boundaries(df: DataFrame, column: str, ranges: int = RANGES) -> lis
     return sorted(set(found or []))
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, folder: str) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, folder: str, tasks: int | None = None) -> DataFrame:
+    """Adds the place, from 1, of each row of its group in ascending order, without a task that sees more of a group than about an even share.
+
+    Groups within a task's share are numbered where one shuffle brings them together; only rows of
+    heavy groups take the two passes of `numbered_in_ranges`, by way of `folder`.
+    """
+    rows = df.dropna(subset=list(group))
+    heavy = list(heavy_keys(rows, group, tasks or shuffle_tasks(rows)))
+    if not heavy:
+        return _numbered_together(rows, group, order, name)
+    is_heavy = F.xxhash64(*group).isin(heavy)
+    return (_numbered_together(rows.filter(~is_heavy), group, order, name)
+            .unionByName(numbered_in_ranges(rows.filter(is_heavy), group, order, name, folder)))
+
+
+def _numbered_together(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
+
+
+def numbered_in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, folder: str) -> DataFrame:
     """Adds the place, from 1, of each row of its group in ascending order, without a task that sees a whole group.
 
     Two passes: rows are range-partitioned by group and order and written to `folder` with the

@@ -1,6 +1,6 @@
 """SARIF 2.1 output: one JSON object per result, and whole documents per scan.
 
-A document is written as lines: a head, one line per rule and per result, a tail.  Lines get their
+A document is written as lines: a head, one line per rule and per result, a tail.  Lines of large scans get their
 places by counting, so a scan of any size is one document and no task holds it whole.
 """
 
@@ -80,17 +80,18 @@ def document_lines(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fle
     of all findings is spread over all tasks.  `scans` brings repo_url and scanned_at.
     """
     spark = scored.sparkSession
-    keys = [f"_key{i}" for i in range(len(order) + 1)]
-    sort = [(-F.col("risk_score")).alias(keys[0]), *[F.col(c).alias(k) for c, k in zip(order, keys[1:], strict=True)]]
-    results = numbered(scored.select("scan_id", *sort, F.to_json(result_struct()).alias("json")), ["scan_id"], keys, "line_no", working_directory(spark, "results"))
-    rules = numbered(rule_definitions(scored, order).select("scan_id", "first_seen", F.to_json(_rule_struct()).alias("json")), ["scan_id"], ["first_seen"],
-                     "line_no", working_directory(spark, "rules"))
-
-    def listed(rows: DataFrame, section: int) -> DataFrame:
+    # Columns travel, not the longer JSON texts made of them.
+    needed = dict.fromkeys([*order, "rule_id", "severity", "description", "file_path", "line_number", "risk_score", "finding_type",
+                            "fix_suggestion", "cve_reference", "cve_id"])
+    found = scored.select("scan_id", *needed, (-F.col("risk_score")).alias("_risk_order"))
+    results = numbered(found, ["scan_id"], ["_risk_order", *order], "line_no", working_directory(spark, "results"))
+    rules = numbered(rule_definitions(scored, order), ["scan_id"], ["first_seen"], "line_no", working_directory(spark, "rules"))
+
+    def listed(rows: DataFrame, section: int, entry: Column) -> DataFrame:
         comma = F.when(F.col("line_no") > 1, ",").otherwise("")
-        return rows.select("scan_id", F.lit(section).alias("section"), "line_no", F.concat(comma, "json").alias("line"))
+        return rows.select("scan_id", F.lit(section).alias("section"), "line_no", F.concat(comma, F.to_json(entry)).alias("line"))
 
-    totals = results.groupBy("scan_id").agg(F.max("line_no").alias("total"))
+    totals = scored.groupBy("scan_id").agg(F.count(F.lit(1)).alias("total"))
     ends = scans.select("scan_id", "repo_url", "scanned_at").join(totals, "scan_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     # Whole JSON texts of the parts around the lists, cut where the lists stand.
     tool = F.to_json(F.struct(F.lit(tool_name).alias("name"), F.lit(tool_version).alias("version"), F.lit(information_uri).alias("informationUri")))
@@ -104,7 +105,7 @@ def document_lines(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fle
         F.struct(F.lit(MIDDLE).alias("section"), F.concat(F.lit(']}},"originalUriBaseIds":'), roots, F.lit(',"results":[')).alias("line")),
         F.struct(F.lit(TAIL).alias("section"), F.concat(F.lit('],"properties":'), properties, F.lit("}]}")).alias("line")))
     framed = ends.select("scan_id", F.inline(pieces)).select("scan_id", "section", F.lit(1).cast("bigint").alias("line_no"), "line")
-    return framed.union(listed(rules, RULES)).union(listed(results, RESULTS))
+    return framed.union(listed(rules, RULES, _rule_struct())).union(listed(results, RESULTS, result_struct()))
 
 
 def documents(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fleetsift", tool_version: str = __version__,

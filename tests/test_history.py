@@ -118,6 +118,17 @@ def test_places_in_groups_counted_in_ranges(spark, tmp_path):
     assert {(r.g, r.a, r.b): r.place for r in got} == want
 
 
+def test_places_in_ordinary_groups_take_no_second_pass(spark, tmp_path):
+    rows = [(k % 40, k % 7, k) for k in range(800)] + [(None, 1, -1)]
+    df = spark.createDataFrame(rows, "g int, a int, b int")
+    got = spread.numbered(df, ["g"], ["a", "b"], "place", str(tmp_path / "n"), tasks=8).collect()
+    want = {}
+    for g, a, b in sorted(rows[:-1]):
+        want[g, a, b] = sum(1 for k in want if k[0] == g) + 1
+    assert {(r.g, r.a, r.b): r.place for r in got} == want and len(got) == 800
+    assert not (tmp_path / "n").exists()
+
+
 def test_one_document_for_a_scan_with_most_results(spark, tmp_path):
     import json
     rows = [(1, f"R{n % 7}", "a\\b", n) for n in range(26_000)] + [(2, "R1", 'q"uote', 3)]
