@@ -83,7 +83,7 @@ def document_lines(scored: DataFrame, scans: DataFrame, *, tool_name: str = "fle
     # Columns travel, not the longer JSON texts made of them.
     needed = dict.fromkeys([*order, "rule_id", "severity", "description", "file_path", "line_number", "risk_score", "finding_type",
                             "fix_suggestion", "cve_reference", "cve_id"])
-    found = scored.select("scan_id", *needed, (-F.col("risk_score")).alias("_risk_order"))
+    found = scored.select("scan_id", *[c for c in needed if c != "scan_id"], (-F.col("risk_score")).alias("_risk_order"))
     results = numbered(found, ["scan_id"], ["_risk_order", *order], "line_no", working_directory(spark, "results"))
     rules = numbered(rule_definitions(scored, order), ["scan_id"], ["first_seen"], "line_no", working_directory(spark, "rules"))
 
