@@ -14,6 +14,10 @@ can still meet texts that are not near the member.  Texts of one label need not
 bucket is done when few of its texts are outside its largest label: these are compared with all, in
 pieces, and groups of thousands of near copies do not split on.
 
+A line or passage that very many unlike texts hold gives all of them the same tokens, and they would go
+down together.  So tokens that are frequent in a sample split no text of which they are only a part:
+its other tokens are drawn more often, by as much as linked texts then share fewer of them.
+
 Pairs that meet only say which texts belong to one *cluster*; inside each cluster every pair of
 different n-gram sets is then verified exactly, in blocks, so links and their counts are exact for
 all texts of a cluster and no pair is counted twice.
@@ -44,6 +48,9 @@ SMALL = 256
 CLOSE = 16
 #: Texts in one block of an exact comparison.
 BLOCK = 256
+#: Texts (about) in which tokens are counted; texts that hold a frequent token at least; frequent tokens at most.  They decide
+#: only by which tokens texts split: all texts are split and linked.
+SAMPLED, FREQUENT, MOST_FREQUENT = 4096, 256, 4096
 
 
 #: One random number for each byte, 0 for ASCII white space, and the base of the powers that tell places apart.
@@ -128,21 +135,61 @@ def _sketcher(n: int):
     return run
 
 
-def _splitter(threshold: float, factor: float):
-    """Children of a node, for rows (path, rep, sketch, label): (path, rep, label).  A token is drawn with
-    probability factor / (threshold * TOKENS) by a hash of the node's path, alike for all sets that reach it."""
-    cut = np.uint64(int(min(1.0, factor / (threshold * TOKENS)) * ((1 << 64) - 1)))
-    places = np.arange(TOKENS, dtype=np.uint64) << np.uint64(32)
+#: Places of a sketch, above the tokens: the same token in another place is another one.
+_PLACES = np.arange(TOKENS, dtype=np.uint64) << np.uint64(32)
+
+
+def _tokens(sketches: pa.Array) -> np.ndarray:
+    """Tokens with their places, a row for each sketch."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<u4").reshape(-1, TOKENS).astype(np.uint64) | _PLACES
+
+
+def frequent_tokens(sketches: DataFrame) -> np.ndarray:
+    """Sorted tokens that by a sample stand in more than FREQUENT of the sketches, the most frequent ones."""
+    step = math.ceil(sketches.count() / SAMPLED) or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_tokens(batch.column(0)).ravel().view(np.int64))], ["token"])
+
+    counted = (sketches.where(F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(step)) == 0).select("sketch").mapInArrow(run, "token bigint")
+               .groupBy("token").count().where(F.col("count") > max(FREQUENT / step, 7)))
+    return np.sort(np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64))
 
+
+def _cuts(tokens: np.ndarray, threshold: float, factor: float, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of each sketch the hashes up to which it is drawn, factor / (threshold * TOKENS) of all, and how many of its tokens are frequent.
+
+    Of a text with some frequent tokens only the others are drawn, so much more often that of those a linked
+    text shares, `factor` are drawn still: texts that share `low` tokens share all but the frequent ones at
+    least, and the same draw decides for both.  Where frequent tokens are most of `low`, they are drawn too.
+    """
+    rate = factor / (threshold * TOKENS)
+    # Three standard deviations below the threshold: texts that share fewer tokens than most lose nothing either.
+    low = TOKENS * threshold - 3 * math.sqrt(TOKENS * threshold * (1 - threshold))
+    most = max(0.0, 0.75 * low)
+    known = np.isin(tokens, frequent)
+    times = known.sum(axis=1)
+    often = low / (low - np.minimum(times, most)) if most else np.ones(len(times))
+    rates = rate * np.where(known, (times > most)[:, None], often[:, None])
+    return np.minimum(rates * 2.0 ** 64, 2.0 ** 64 - 2048).astype(np.uint64), times
+
+
+def _splitter(threshold: float, factor: float, frequent: np.ndarray):
+    """Children of a node, for rows (path, rep, sketch, label): (path, rep, label, how many tokens are frequent).  A token
+    is drawn by a hash of the node's path, alike for all sets that reach it; `_cuts` says with which probability."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 path, rep, label = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy(), part.column(3).to_numpy()
-                tokens = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").reshape(-1, TOKENS).astype(np.uint64)
-                child = _mixed(_mixed(tokens | places) + _mixed(path)[:, None])
-                i, j = np.nonzero(child <= cut)
-                yield pa.record_batch([pa.array(_mixed(child[i, j] + np.uint64(1)).view(np.int64)), pa.array(rep[i]), pa.array(label[i])], ["path", "rep", "label"])
+                tokens = _tokens(part.column(2))
+                _, first, text = np.unique(rep, return_index=True, return_inverse=True)
+                child = _mixed(_mixed(tokens) + _mixed(path)[:, None])
+                cuts, times = _cuts(tokens[first], threshold, factor, frequent)
+                i, j = np.nonzero(child <= cuts[text])
+                yield pa.record_batch([pa.array(_mixed(child[i, j] + np.uint64(1)).view(np.int64)), pa.array(rep[i]), pa.array(label[i]),
+                                       pa.array(times[text[i]].astype(np.int32))], ["path", "rep", "label", "frequent"])
     return run
 
 
@@ -270,45 +317,51 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
     # Texts with the same label in a path are connected by the links so far; at first each has its own.
     rows = sketches.select(F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"), "rep", "sketch", F.col("rep").alias("label"))
     members, pairs, links = [], [], []
+    frequent = frequent_tokens(sketches)
 
     def sketches_of(wanted: DataFrame, key: str = "rep", sketch: str = "sketch") -> DataFrame:
         """(key, sketch) for the wanted texts and few others: sketches that no row needs are not shuffled."""
         return KeyFilter(wanted, key).keep(sketches.select(F.col("rep").alias(key), F.col("sketch").alias(sketch)), key)
 
-    order = F.xxhash64("pivot", "path")
+    # First what has the most frequent tokens, the middle of a group of near copies; else at random.
+    central = F.shiftleft(TOKENS - F.col("frequent").cast("bigint"), 55) + F.shiftrightunsigned(F.xxhash64("rep", "path"), 9)
     while True:
-        split = written(rows.mapInArrow(_splitter(threshold, factor), "path bigint, rep bigint, label bigint"), "paths")
+        split = written(rows.mapInArrow(_splitter(threshold, factor, frequent), "path bigint, rep bigint, label bigint, frequent int"), "paths")
         if links:
             labels = split.groupBy("path", "label").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"),
-                                                        F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
-            # The pivot is a random text; where that bears the largest label, one of the smallest.
+                                                        F.min_by("rep", central).alias("pivot"), F.min(central).alias("order"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
+            # Where the pivot bears the largest label, it is a text of one of the smallest.
             buckets = labels.groupBy("path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("mark").alias("mark"),
-                                                 F.max(F.struct("n", "label")).alias("top"), F.min_by(F.struct("label", "pivot"), order).alias("drawn"),
-                                                 F.min_by("pivot", F.struct("n", order)).alias("least"))
+                                                 F.max(F.struct("n", "label")).alias("top"), F.min_by(F.struct("label", "pivot"), "order").alias("drawn"),
+                                                 F.min_by("pivot", F.struct("n", "order")).alias("least"))
             pivot = F.when(F.col("drawn.label") == F.col("top.label"), F.col("least")).otherwise(F.col("drawn.pivot"))
             buckets = buckets.where("n > top.n").select("path", "n", "low", "high", "mark", F.col("top.label").alias("top"), F.col("top.n").alias("n_top"), pivot.alias("pivot"))
         else:
             # Each text still bears its own label: plain numbers say it all.
             buckets = split.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark"),
-                                                F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"))
+                                                F.min_by("rep", central).alias("pivot"))
             buckets = buckets.select("path", "n", "low", "high", "mark", F.col("low").alias("top"), F.lit(1).cast("bigint").alias("n_top"), "pivot")
         buckets = written(buckets.where("low < high"), "buckets")
         # Texts that share much meet in many buckets: one of those with the same members is enough.
         pairs.append(buckets.where("n = 2").select("low", "high"))
-        pieces = F.ceil(F.col("n_top") / SMALL)
-        done = (buckets.where((F.col("n") >= 3) & (F.col("n") - F.col("n_top") <= SMALL)).groupBy("n", "low", "high", "mark")
-                .agg(F.min(F.struct("path", "top", pieces.alias("pieces"))).alias("first")).select("first.*"))
+        large = F.col("n") - F.col("n_top") > SMALL
+        chosen = (buckets.where("n >= 3").groupBy("n", "low", "high", "mark", F.when(large, F.col("path")).alias("large"))
+                  .agg(F.min(F.struct("path", "top", F.ceil(F.col("n_top") / SMALL).alias("pieces"), F.when(large, F.col("pivot")).alias("pivot"))).alias("first"))
+                  .select("first.*"))
+        # Who stands in a small bucket waits for the comparison at the end, who stands in a large one meets its pivot.
+        placed = written(split.join(chosen, "path").select("path", "rep", "label", "top", "pieces", "pivot"), "placed")
         piece = F.explode(F.when(F.col("label") == F.col("top"), F.array(F.pmod(F.xxhash64("rep"), F.col("pieces"))))
                           .otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-        members.append(split.join(done, "path").select("path", "rep", "pieces", piece.alias("piece"))
+        members.append(placed.where("pivot is null").select("path", "rep", "pieces", piece.alias("piece"))
                        .select(F.when(F.col("pieces") == 1, F.col("path")).otherwise(F.xxhash64("path", "piece")).alias("path"), "rep"))
-        large = buckets.where(F.col("n") - F.col("n_top") > SMALL).select("path", "pivot")
-        if large.isEmpty():
+        inside = placed.where("pivot is not null")
+        if inside.isEmpty():
             break
-        pivots = written(large.join(sketches_of(large, "pivot", "pivot_sketch"), "pivot"), "pivots")
-        inside = written(split.join(large.select("path"), "path"), "inside")
-        own = sketches_of(inside)
-        compared = written(inside.join(pivots, "path").join(own, "rep")
+        own = written(sketches_of(inside), "own")
+        # A pivot is a member of its bucket.
+        pivots = written(own.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+                         .join(inside.select("pivot").distinct(), "pivot", "left_semi"), "pivots")
+        compared = written(inside.join(pivots, "pivot").join(own, "rep")
                            .select("path", "rep", "sketch", "pivot", "pivot_sketch", "label")
                            .mapInArrow(_near(least_equal - CLOSE, CLOSE), near_type), "compared")
         links.append(compared.where("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))

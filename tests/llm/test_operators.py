@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetsift.llm import licenses, quality_classifier, quality_rules, sentencepiece_codec
+from fleetsift.llm import licenses, ngram_join, quality_classifier, quality_rules, sentencepiece_codec
 from fleetsift.llm.components import connected_components
 from fleetsift.llm.mixing import mix
 from fleetsift.llm.ngram_join import jaccard_join, one_of_each
@@ -120,6 +120,50 @@ def test_links_beside_a_large_group_of_near_copies(spark):
     assert [k for k in range(chains) if got[20_000 + k].class_id != got[10_000 + k].class_id or not got[20_000 + k].n_links] == []
 
 
+def _rows_at_pivots(monkeypatch):
+    """Fills a list with the rows that meet a pivot, a number for each level of the join."""
+    met, real = [], ngram_join.written
+
+    def counted(df, purpose):
+        out = real(df, purpose)
+        if purpose == "compared":
+            met.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "written", counted)
+    return met
+
+
+def test_texts_that_share_a_passage(spark, monkeypatch):
+    """Unlike texts do not go down together by what all of them hold, and links between them are found."""
+    passage, rows = [f"p{k}" for k in range(40)], []
+    for k in range(1500):
+        own = [f"o{k}-{i}" for i in range(60)]
+        rows.append((k, " ".join(passage + own)))
+        if k < 200:
+            rows.append((10_000 + k, " ".join(passage + own[:52] + [f"n{k}-{i}" for i in range(8)])))
+    met = _rows_at_pivots(monkeypatch)
+    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: (int(k % 10_000 < 200), k % 10_000) for k, _ in rows}
+    assert sum(met) < len(rows)
+
+
+def test_copies_altered_to_various_degrees(spark, monkeypatch):
+    """The pivot is a text from the middle of the group: most are near it, and one level is enough."""
+    base, rng = [f"t{k}" for k in range(150)], random.Random(8)
+    texts = []
+    for k in range(1200):
+        words = base.copy()
+        for at in rng.sample(range(150), rng.randrange(1, 12)):
+            words[at] = f"own{k}-{at}"
+        texts.append(" ".join(words))
+    met = _rows_at_pivots(monkeypatch)
+    got = {r.doc_id: r.n_links for r in jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    for k in range(0, 1200, 25):
+        assert got[k] == sum(5 * len(sets[k] & s) >= 4 * len(sets[k] | s) for s in sets) - 1
+    assert len(met) <= 2
+
+
 def test_one_id_on_two_texts(spark):
     """Each class keeps one text, also where the same id is the lowest of two classes."""
     one, two = ([f"{x}{k}" for k in range(60)] for x in "ab")
