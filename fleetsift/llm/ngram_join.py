@@ -16,7 +16,9 @@ pieces, and groups of thousands of near copies do not split on.
 
 A line or passage that very many unlike texts hold gives all of them the same tokens, and they would go
 down together.  So tokens that are frequent in a sample split no text of which they are only a part:
-its other tokens are drawn more often, by as much as linked texts then share fewer of them.
+its other tokens are drawn more often, by as much as linked texts then share fewer of them.  That holds
+for all texts that share `least_equal` tokens, as few as linked texts are looked for with: no such pair
+meets less often for it, and every text is split, compared and verified.
 
 Pairs that meet only say which texts belong to one *cluster*; inside each cluster every pair of
 different n-gram sets is then verified exactly, in blocks, so links and their counts are exact for
@@ -157,16 +159,21 @@ def frequent_tokens(sketches: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64))
 
 
+def least_equal(threshold: float) -> int:
+    """Tokens that linked texts share at least: four standard deviations below the threshold."""
+    return int(TOKENS * threshold - 4 * math.sqrt(TOKENS * threshold * (1 - threshold)))
+
+
 def _cuts(tokens: np.ndarray, threshold: float, factor: float, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token of each sketch the hashes up to which it is drawn, factor / (threshold * TOKENS) of all, and how many of its tokens are frequent.
 
     Of a text with some frequent tokens only the others are drawn, so much more often that of those a linked
-    text shares, `factor` are drawn still: texts that share `low` tokens share all but the frequent ones at
+    text shares, as many are drawn as if all were: texts that share `low` tokens share all but the frequent ones at
     least, and the same draw decides for both.  Where frequent tokens are most of `low`, they are drawn too.
     """
     rate = factor / (threshold * TOKENS)
-    # Three standard deviations below the threshold: texts that share fewer tokens than most lose nothing either.
-    low = TOKENS * threshold - 3 * math.sqrt(TOKENS * threshold * (1 - threshold))
+    # The fewest that links are looked for with: texts that share fewer tokens than most lose nothing either.
+    low = least_equal(threshold)
     most = max(0.0, 0.75 * low)
     known = np.isin(tokens, frequent)
     times = known.sum(axis=1)
@@ -193,13 +200,13 @@ def _splitter(threshold: float, factor: float, frequent: np.ndarray):
     return run
 
 
-def _near(least_equal: int, close: int = 0):
+def _near(least: int, close: int = 0):
     """Adds to (path, rep, sketch, pivot, pivot's sketch, label) whether the two sketches are near, and whether they differ in `close` tokens at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, TOKENS) for k in (2, 4))
             equal = (one == two).sum(axis=1)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), batch.column(5), pa.array(equal >= least_equal), pa.array(equal >= TOKENS - close)],
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), batch.column(5), pa.array(equal >= least), pa.array(equal >= TOKENS - close)],
                                   ["path", "rep", "pivot", "label", "near", "leaves"])
     return run
 
@@ -222,8 +229,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _forest(least_equal: int):
-    """Links that connect the members of each bucket whose sketches agree in `least_equal` tokens."""
+def _forest(least: int):
+    """Links that connect the members of each bucket whose sketches agree in `least` tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
@@ -237,7 +244,7 @@ def _forest(least_equal: int):
                 front, waiting = waiting[:1], waiting[1:]
                 while len(front) and len(waiting):
                     at, front = front[0], front[1:]
-                    near = (sketch[waiting] == sketch[at]).sum(axis=1) >= least_equal
+                    near = (sketch[waiting] == sketch[at]).sum(axis=1) >= least
                     a += [int(rep[at])] * int(near.sum())
                     b += rep[waiting[near]].tolist()
                     front, waiting = np.concatenate([front, waiting[near]]), waiting[~near]
@@ -311,8 +318,7 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
     and whose sketches are near the threshold or above."""
     # Next to large groups pairs can go down many levels: so many that the chance to die out hardly grows any more.
     runs = runs_needed(recall, factor, 64)
-    # Four standard deviations below the threshold.
-    least_equal = int(TOKENS * threshold - 4 * math.sqrt(TOKENS * threshold * (1 - threshold)))
+    least = least_equal(threshold)
     near_type = "path bigint, rep bigint, pivot bigint, label bigint, near boolean, leaves boolean"
     # Texts with the same label in a path are connected by the links so far; at first each has its own.
     rows = sketches.select(F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("path"), "rep", "sketch", F.col("rep").alias("label"))
@@ -363,7 +369,7 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
                          .join(inside.select("pivot").distinct(), "pivot", "left_semi"), "pivots")
         compared = written(inside.join(pivots, "pivot").join(own, "rep")
                            .select("path", "rep", "sketch", "pivot", "pivot_sketch", "label")
-                           .mapInArrow(_near(least_equal - CLOSE, CLOSE), near_type), "compared")
+                           .mapInArrow(_near(least - CLOSE, CLOSE), near_type), "compared")
         links.append(compared.where("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         # Who is near brings all of its label along.
         reached = written(compared.where("near").select("path", "label", "pivot").distinct(), "reached")
@@ -372,11 +378,11 @@ def candidate_links(sketches: DataFrame, threshold: float, recall: float, factor
     two = written(reduce(DataFrame.union, pairs).distinct().select(F.lit(0).cast("bigint").alias("path"), F.col("low").alias("rep"), F.col("high").alias("pivot")), "two")
     links.append(two.join(sketches_of(two), "rep").join(sketches_of(two, "pivot", "pivot_sketch"), "pivot")
                  .select("path", "rep", "sketch", "pivot", "pivot_sketch", F.col("rep").alias("label"))
-                 .mapInArrow(_near(least_equal), near_type)
+                 .mapInArrow(_near(least), near_type)
                  .where("near").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     met = written(reduce(DataFrame.union, members), "met")
     placed = met.join(sketches_of(met), "rep").select("path", "rep", "sketch")
-    links.append(placed.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_forest(least_equal), "a bigint, b bigint"))
+    links.append(placed.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_forest(least), "a bigint, b bigint"))
     return reduce(DataFrame.union, links)
 
 

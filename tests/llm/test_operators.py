@@ -147,6 +147,23 @@ def test_texts_that_share_a_passage(spark, monkeypatch):
     assert sum(met) < len(rows)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_frequent_tokens_cost_no_pair_its_chance(threshold):
+    """Texts that share as few tokens as links are looked for with draw as many of them as without frequent tokens, whichever are frequent."""
+    n, factor = ngram_join.TOKENS, 1.5
+    least = int(n * threshold - 4 * (n * threshold * (1 - threshold)) ** 0.5)
+    for shared in range(least, n + 1):
+        one = np.arange(n, dtype=np.uint64) + ngram_join._PLACES
+        two = one.copy()
+        two[shared:] += np.uint64(1000)
+        for times in range(shared + 1):
+            for more in (0, n - shared):  # frequent tokens that one text alone has
+                frequent = np.sort(np.concatenate([one[:times], one[n - more:]]))
+                cuts, _ = ngram_join._cuts(np.stack([one, two]), threshold, factor, frequent)
+                drawn = cuts[:, :shared].min(axis=0) / 2.0 ** 64
+                assert drawn.sum() >= factor * shared / (threshold * n) - 1e-9, (shared, times, more)
+
+
 def test_copies_altered_to_various_degrees(spark, monkeypatch):
     """The pivot is a text from the middle of the group: most are near it, and one level is enough."""
     base, rng = [f"t{k}" for k in range(150)], random.Random(8)
