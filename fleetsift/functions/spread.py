@@ -12,11 +12,20 @@ from pyspark.sql.window import Window
 # Keys that are salted at most, counters of the sketch that finds them, ranges of an order.
 HEAVY_KEYS, COUNTERS, RANGES = 64, 10_000, 64
 
+# Rows that a task sorts at most, and those for which a task of its own is worth while.
+TASK_ROWS, LEAST_ROWS = 200_000, 10_000
+
 
 def shuffle_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks that sort the rows in memory: at most TASK_ROWS each, if they are dealt evenly; few where there are few rows."""
+    n = df.count()
+    return max(1, -(-n // TASK_ROWS), min(shuffle_tasks(df), -(-n // LEAST_ROWS)))
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], tasks: int) -> dict[int, int]:
     """Hash of each key that holds more rows than a task's even share -> pieces of about that share.
 
